@@ -1,0 +1 @@
+"""Document and vector search on Spark DataFrames."""
