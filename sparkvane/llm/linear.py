@@ -17,6 +17,8 @@ from .textops import NULL_ID, U64, Tokens, chunks, mix, text_buffers
 
 #: Number of hashed features, and the bound on labelled rows that a model is fitted on (the rows of least hashed id).
 DIMENSIONS, SAMPLE_ROWS = 1 << 20, 12_000
+#: Steps of a fit at least: small samples are gone through more often.
+LEAST_STEPS = 500
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,7 @@ class Adagrad:
 
     LEAST_ROWS = 3
 
-    def __init__(self, index: np.ndarray, offs: np.ndarray, dense: np.ndarray, rate: float = 0.3, l2: float = 1e-5) -> None:
+    def __init__(self, index: np.ndarray, offs: np.ndarray, dense: np.ndarray, rate: float = 0.3, l2: float = 1e-3) -> None:
         used = np.bincount(index, minlength=DIMENSIONS) >= self.LEAST_ROWS
         self.columns = np.flatnonzero(used)
         keep = used[index]
@@ -139,20 +141,25 @@ class Adagrad:
         return out
 
 
+def rounds(n: int, epochs: int, batch: int) -> int:
+    """Passes over n rows: ``epochs``, or more for ``LEAST_STEPS`` steps."""
+    return max(epochs, -(-LEAST_STEPS // -(-n // batch)))
+
+
 def fit_logistic(index: np.ndarray, offs: np.ndarray, dense: np.ndarray, y: np.ndarray, positive: float = 1.0, epochs: int = 6, batch: int = 128, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the hashed and of the dense features, a constant first among these; positives count ``positive`` times.
 
-    With one class only, a constant model of that class.
+    With one class only, a constant model of that class; without rows, of the negative one.
     """
     n = len(y)
     dense = np.column_stack([np.ones(n), dense])
     model = Adagrad(index, offs, dense)
     if n == 0 or y.min() == y.max():
-        model.v[0] = 0 if n == 0 else 8 * (2 * y[0] - 1)
+        model.v[0] = 8 * (2 * y[0] - 1) if n else -8
         return model.weights(), model.v
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, positive, 1.0)
-    for _ in range(epochs):
+    for _ in range(rounds(n, epochs, batch)):
         order = rng.permutation(n)
         for s in range(0, n, batch):
             rows = order[s : s + batch]

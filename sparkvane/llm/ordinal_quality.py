@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linear import SAMPLE_ROWS, Adagrad, features, sample, sigmoid, sums
+from .linear import SAMPLE_ROWS, Adagrad, features, rounds, sample, sigmoid, sums
 from .textops import text_buffers
 
 GRADE, GRADES = "case when quality = 0 then 0 when toxic = 1 then 1 else 2 end", 3
@@ -43,7 +43,7 @@ def fit(index: np.ndarray, offs: np.ndarray, grade: np.ndarray, grades: int = GR
     free = np.concatenate([t[:1], np.log(np.maximum(np.diff(t), 1e-3))])
     squares = np.full(grades - 1, 1e-2)
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(rounds(n, epochs, batch)):
         order = rng.permutation(n)
         for s in range(0, n, batch):
             rows = order[s : s + batch]

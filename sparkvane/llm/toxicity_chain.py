@@ -7,7 +7,8 @@ the sample. The labelled tables have two categories: ``low_quality`` (graded 0 f
 added by passing their columns.
 
 Nulls and edge cases: a null or empty text gets the probabilities of a text without features; null labels are left
-out; without labels nothing is rejected (every probability is the constant one half of a model without rows, which no threshold below it may use: none is applied). Every row is scored, repeated ones alike.
+out; without labels
+every probability is near 0 and nothing is rejected. Every row is scored, repeated ones alike.
 The decision is by the last category.
 """
 
