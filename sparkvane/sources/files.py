@@ -45,14 +45,14 @@ def arxiv_documents(raw: DataFrame) -> DataFrame:
 
 def read_text_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(doc_id, path, text): one document for each non-blank file below ``path``; the id follows from the path."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    df = df.select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.trim("text") != "")
+    df = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+    df = df.select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.col("text").rlike(r"\S"))
     return df.select(name_uuid(F.col("path")).alias("doc_id"), "path", "text")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one document for each non-blank line."""
-    return spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.trim("text") != "")
+    return spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text")).where(F.col("text").rlike(r"\S"))
 
 
 def html_text(html: Column) -> Column:
