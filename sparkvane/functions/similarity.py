@@ -12,7 +12,10 @@ EPSILON = 1e-8
 
 
 def literal_vector(vector: Sequence[float], kind: str = "double") -> Column:
-    return F.array(*[F.lit(float(x)) for x in vector]).cast(f"array<{kind}>")
+    values = [float(x) for x in vector]
+    if not all(map(math.isfinite, values)):
+        return F.array(*[F.lit(x) for x in values]).cast(f"array<{kind}>")
+    return F.expr(f"CAST(array({', '.join(f'{x!r}D' for x in values)}) AS array<{kind}>)")  # one call, whatever the length
 
 
 def dot(a: Column, b: Column, precision: str = "float64") -> Column:
@@ -29,37 +32,41 @@ def _norm_of(vector: Sequence[float]) -> float:
     return math.sqrt(total)
 
 
-def cosine(a: Column, vector: Sequence[float] | Column, precision: str = "float64", norm: Column | None = None) -> Column:
-    """Cosine similarity; 0 for a zero vector. ``norm`` may be a stored column of a's norms.
+def norm_of(a: Column, precision: str = "float64") -> Column:
+    return F.sqrt(dot(a, a, precision).cast("double"))
+
+
+def cosine(a: Column, vector: Sequence[float] | Column, precision: str = "float64", norm: Column | None = None, query_norm: Column | None = None) -> Column:
+    """Cosine similarity; 0 for a zero vector. ``norm`` and ``query_norm`` may be columns of known norms.
 
     A literal query's norm is worked out once, on the driver.
     """
     if isinstance(vector, Column):
-        b, nb = vector, F.sqrt(dot(vector, vector, precision).cast("double"))
+        b, nb = vector, F.sqrt(dot(vector, vector, precision).cast("double")) if query_norm is None else query_norm
     elif precision == "float32":
         b = literal_vector(vector, "float")
         nb = F.sqrt(dot(b, b, precision).cast("double"))
     else:
         b, nb = literal_vector(vector), F.lit(_norm_of(vector))
-    na = F.sqrt(dot(a, a, precision).cast("double")) if norm is None else norm
+    na = norm_of(a, precision) if norm is None else norm
     below = F.greatest(na * nb, F.lit(EPSILON))
     if precision == "float32":
         return (dot(a, b, precision) / below.cast("float")).cast("float")
     return dot(a, b, precision) / below
 
 
-def dot_product(a: Column, vector: Sequence[float] | Column, precision: str = "float64", norm: Column | None = None) -> Column:
+def dot_product(a: Column, vector: Sequence[float] | Column, precision: str = "float64", norm: Column | None = None, query_norm: Column | None = None) -> Column:
     return dot(a, vector if isinstance(vector, Column) else literal_vector(vector), precision)
 
 
-def l2_closeness(a: Column, vector: Sequence[float] | Column, precision: str = "float64", norm: Column | None = None) -> Column:
+def l2_closeness(a: Column, vector: Sequence[float] | Column, precision: str = "float64", norm: Column | None = None, query_norm: Column | None = None) -> Column:
     """1 / (1 + Euclidean distance): greater is closer, as for the other measures."""
     b = vector if isinstance(vector, Column) else literal_vector(vector)
     square = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     return 1 / (1 + F.sqrt(square))
 
 
-#: Measures by name; others can be added. Each takes (column, vector or column, precision, norm column).
+#: Measures by name; others can be added. Each takes (column, vector or column, precision, norm columns).
 METRICS: dict[str, Callable[..., Column]] = {"cosine": cosine, "dot": dot_product, "l2": l2_closeness}
 
 

@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.similarity import METRICS
+from ..functions.similarity import METRICS, norm_of
 from ..plans.compiler import Compiler, kind_of
 from ..plans.query import Query, QueryBuilder
 from ..sources.documents import unify
@@ -75,10 +75,16 @@ class Collection:
         if kind_of(self.df.schema[field].dataType) != "vector":
             raise ValueError(f"{field!r} is not a vector field")
         asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__query"))
-        if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-            asked = F.broadcast(asked)
-        norm = F.col(self.norms[field]) if field in self.norms else None
-        pairs = self.df.crossJoin(asked).withColumn("score", METRICS[metric](F.col(field), F.col("__query"), "float64", norm)).where(F.col("score") > min_score)
+        small = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+        norm = F.col(self.norms[field]) if field in self.norms else norm_of(F.col(field))
+        # Norms are worked out once a row, not once a pair; a table in few files is spread over all cores first.
+        data = self.df.select(F.col(self.id_col), F.col(field).alias("__data"), norm.alias("__norm"))
+        cores = self.df.sparkSession.sparkContext.defaultParallelism
+        if data.rdd.getNumPartitions() < cores:
+            data = data.repartition(cores)
+        asked = asked.withColumn("__query_norm", norm_of(F.col("__query")))
+        score = METRICS[metric](F.col("__data"), F.col("__query"), "float64", F.col("__norm"), F.col("__query_norm"))
+        pairs = data.crossJoin(F.broadcast(asked) if small else asked).withColumn("score", score).where(F.col("score") > min_score)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col))
         return pairs.select("query_id", self.id_col, "score").withColumn("rank", rank).where(F.col("rank") <= k)
 
