@@ -146,7 +146,7 @@ def rounds(n: int, epochs: int, batch: int) -> int:
     return max(epochs, -(-LEAST_STEPS // -(-n // batch)))
 
 
-def fit_logistic(index: np.ndarray, offs: np.ndarray, dense: np.ndarray, y: np.ndarray, positive: float = 1.0, epochs: int = 6, batch: int = 128, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+def fit_logistic(index: np.ndarray, offs: np.ndarray, dense: np.ndarray, y: np.ndarray, positive: float = 1.0, epochs: int = 10, batch: int = 128, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the hashed and of the dense features, a constant first among these; positives count ``positive`` times.
 
     With one class only, a constant model of that class; without rows, of the negative one.
