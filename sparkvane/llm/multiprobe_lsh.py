@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, TABLES, FUNCTIONS, WIDTH, PROBES = 10, 2, 4, 4.0, 4
-BLOCK, QUERIES = 4096, 16_384
+BLOCK, QUERIES = 32_768, 16_384
 
 
 def probe_order(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -105,11 +105,11 @@ def block_top_k(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray
     """
     rows, hits, dist = [], [], []
     norm_x = np.einsum("ij,ij->i", x, x)
-    for s in range(0, len(q), 256):
-        part = q[s : s + 256]
+    for s in range(0, len(q), 128):
+        part = q[s : s + 128]
         norm_q = np.einsum("ij,ij->i", part, part)
         d = norm_q[:, None] + norm_x[None, :] - 2 * (part @ x.T)
-        d[q_id[s : s + 256, None] == x_id[None, :]] = np.inf
+        d[q_id[s : s + 128, None] == x_id[None, :]] = np.inf
         last = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(part), np.finfo(np.float32).max)
         r, c = np.nonzero((d <= (last + 1e-4 * (norm_q + norm_x.max()))[:, None]) & (d < np.inf))
         exact = np.sqrt(((part[r].astype(np.float64) - x[c].astype(np.float64)) ** 2).sum(axis=1))
