@@ -27,8 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint
+
 K, TABLES, FUNCTIONS, WIDTH, PROBES = 10, 2, 4, 4.0, 4
 BLOCK, QUERIES = 32_768, 16_384
+#: The table of buckets is broadcast up to this number of rows.
+BROADCAST_CELLS = 200_000
 
 
 def probe_order(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -164,7 +168,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, id_column: str = "vec_id"
     key = ["tab", "bucket"]
     # Buckets that hold data, with the grid of blocks that their data and queries are cut into.
     grid = data.groupBy(*key).count().join(queries.groupBy(*key).agg(F.count("*").alias("asked")), key)
-    grid = grid.select(*key, F.ceil(F.col("count") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / QUERIES).alias("parts"))
+    grid = checkpoint(grid.select(*key, F.ceil(F.col("count") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / QUERIES).alias("parts")))
+    if grid.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+        grid = F.broadcast(grid)  # else the vectors are shuffled once more to meet it
     own = F.pmod(F.xxhash64("vh", "id"), F.col("blocks"))
     part = F.pmod(F.xxhash64("id", "vh"), F.col("parts"))
     cells = [*key, "block", "part"]
