@@ -40,32 +40,43 @@ class Collection:
         if self.telemetry:
             self.telemetry(metric, value)
 
+    def _scored(self, query: Query | QueryBuilder, scoring: str, options: dict[str, Any]) -> tuple[DataFrame, bool]:
+        """Documents with their ``score``, and whether those without a positive one are still among them."""
+        query = query.build() if isinstance(query, QueryBuilder) else query
+        c = Compiler(self.df.schema, scoring, norms=self.norms, **options).compile(query)
+        df = self.df if c.necessary is None else self.df.where(c.necessary)
+        if scoring == "geometric" and not c.exact:
+            df = df.where(c.hit)
+        return df.withColumn("score", c.score.cast("double")), scoring == "mean" and not c.exact
+
     def scored(self, query: Query | QueryBuilder, scoring: str = "mean", **options: Any) -> DataFrame:
         """All hits with their ``score``, unordered.
 
         The necessary condition is a filter of its own below the score's projection, so it reaches the scan.
         """
-        query = query.build() if isinstance(query, QueryBuilder) else query
-        c = Compiler(self.df.schema, scoring, norms=self.norms, **options).compile(query)
-        df = self.df if c.necessary is None else self.df.where(c.necessary)
-        if scoring == "geometric":
-            df = df.where(c.hit)
-        df = df.withColumn("score", c.score.cast("double"))
-        return df if scoring == "geometric" else df.where("score > 0")
+        df, open_ = self._scored(query, scoring, options)
+        return df.where("score > 0") if open_ else df
 
     def search(self, query: Query | QueryBuilder, k: int | None = None, fields: Sequence[str] | None = None, min_score: float | None = None, scoring: str = "mean", **options: Any) -> DataFrame:
-        """The best ``k`` hits (all, if None), by score descending and id: a top-k, not a sort, when k is given."""
+        """The best ``k`` hits (all, if None), by score descending and id: a top-k, not a sort, when k is given.
+
+        A bound on the score commutes with the top-k, so it is applied after it; below, Catalyst would work out the score twice.
+        """
         if k is not None and k < 0:
             raise ValueError("k must not be negative")
         began = time.perf_counter()
-        df = self.scored(query, scoring, **options)
-        if min_score is not None:
-            df = df.where(F.col("score") >= min_score)
+        df, open_ = self._scored(query, scoring, options)
         if fields is not None:
             df = df.select(self.id_col, *[f for f in fields if f != self.id_col], "score")
-        df = df.orderBy(F.col("score").desc(), F.col(self.id_col).asc())
+        order = [F.col("score").desc(), F.col(self.id_col).asc()]
+        if k is not None:
+            df = df.orderBy(*order).limit(k)
+        if open_:
+            df = df.where("score > 0")
+        if min_score is not None:
+            df = df.where(F.col("score") >= min_score)
         self._record("search.planning", time.perf_counter() - began)
-        return df if k is None else df.limit(k)
+        return df if k is not None else df.orderBy(*order)
 
     def search_batch(self, queries: DataFrame, field: str, k: int, query_id: str = "query_id", vector: str = "vector", metric: str = "cosine", min_score: float = 0.0) -> DataFrame:
         """The best ``k`` documents above ``min_score`` for each row of ``queries``: (query_id, id, score, rank).

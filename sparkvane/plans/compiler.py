@@ -56,11 +56,15 @@ def kind_of(data_type: T.DataType) -> str | None:
 
 @dataclass
 class Compiled:
-    """``necessary`` goes into a filter of its own before the score is computed; ``hit`` decides."""
+    """``necessary`` goes into a filter of its own before the score is computed; ``hit`` decides.
+
+    ``exact``: the necessary condition is the hit itself, as for trees without vectors, so no filter on the score is needed.
+    """
 
     necessary: Column | None
     score: Column
     hit: Column
+    exact: bool
 
 
 @dataclass
@@ -82,8 +86,8 @@ class Compiler:
     def compile(self, query: Query) -> Compiled:
         node = self._node(query, False)
         if self.scoring == "mean":
-            return Compiled(node.necessary, node.score, F.coalesce(node.score > 0, F.lit(False)))
-        return Compiled(node.necessary, node.score, node.match)
+            return Compiled(node.necessary, node.score, F.coalesce(node.score > 0, F.lit(False)), node.boolean is not None)
+        return Compiled(node.necessary, node.score, node.match, node.boolean is not None)
 
     def _node(self, q: Query, negated: bool) -> _Node:
         if isinstance(q, (MatchAll, MatchNone)):
@@ -146,4 +150,4 @@ class Compiler:
             match = both(match, n.match)
             folded = F.sqrt(F.greatest(score * n.score, F.lit(0.0))) if op == "AND" else (score + n.score) / 2.0
             score = F.when(match, folded).otherwise(0.0)
-        return _Node(boolean, necessary if op == "AND" or necessary is not None else None, match, score)
+        return _Node(boolean, necessary, match, score)
