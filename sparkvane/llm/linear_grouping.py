@@ -193,8 +193,8 @@ class Packing:
             n -= take
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """(key, text hash, copy, n_words) of each document that has a word."""
+def pieces(docs: DataFrame) -> DataFrame:
+    """(key, text hash, n_words) of each document that has a word."""
     words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
     return keyed(docs.select("doc_id", "text")).select(KEY, HASH, words.alias("n_words")).where("n_words > 0")
 
@@ -205,27 +205,28 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, small: float = SMALL, groups
     Pieces of a document are numbered from 0; ``first_word`` is the piece's first word within the document.
     """
     spark = docs.sparkSession
-    p = checkpoint(pieces(docs, capacity))
+    p = checkpoint(pieces(docs))
     whole = F.floor(F.col("n_words") / capacity).cast("long")
     rest = F.col("n_words") % capacity
     salt = F.pmod(F.xxhash64(KEY, HASH), F.lit(SALTS))
-    # Full pieces are numbered by running sums, rests by rank within their length; both are cut by salt and shifted by the salts before.
+    # Full pieces are numbered by running sums, rests by rank within their length. Both are cut by salt and shifted by what comes
+    # before: the salts before within Spark, the lengths before from the histogram, which is all that the driver sees.
     rests = p.select(KEY, HASH, "n_words", rest.alias("length"), whole.alias("whole"), salt.alias("salt"))
-    counts = rests.groupBy("length", "salt").agg(F.count("*").alias("n"), F.sum("whole").alias("full")).collect()
-    by_length: dict[int, int] = defaultdict(int)
-    offsets, seen = [], defaultdict(int)
-    full_seen = 0
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        offsets.append((r["length"], r["salt"], seen[r["length"]], full_seen))
-        seen[r["length"]] += r["n"]
+    counts = rests.groupBy("length", "salt").agg(F.count("*").alias("n"), F.sum("whole").alias("full"))
+    histogram = counts.groupBy("length").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).orderBy("length").collect()
+    by_length = {r["length"]: r["n"] for r in histogram if r["length"]}
+    full_before, full_seen = [], 0
+    for r in histogram:
+        full_before.append((r["length"], full_seen))
         full_seen += r["full"]
-        if r["length"]:
-            by_length[r["length"]] += r["n"]
     plan = Packing({**by_length, capacity: full_seen}, capacity, small, groups)
-    # At most capacity x SALTS rows, and a plan of the histogram's size: both are bounded by parameters.
-    shift = spark.createDataFrame(offsets or [(0, 0, 0, 0)], "length long, salt long, before long, full_before long")
+    # The histogram has at most `capacity` rows, the plan is of its size: both are bounded by a parameter.
+    start = spark.createDataFrame(full_before or [(0, 0)], "length long, start long")
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "full_inner": F.coalesce(F.sum("full").over(earlier), F.lit(0))})
+    shift = shift.join(F.broadcast(start), "length").select("length", "salt", "before", (F.col("start") + F.col("full_inner")).alias("full_before"))
     within = Window.partitionBy("length", "salt").orderBy(KEY, HASH, "n_words")
-    ranked = rests.join(F.broadcast(shift), ["length", "salt"]).withColumns({"rank": F.col("before") + F.row_number().over(within) - 1, "full_rank": F.col("full_before") + F.sum("whole").over(within.rowsBetween(Window.unboundedPreceding, -1))})
+    ranked = rests.join(shift, ["length", "salt"]).withColumns({"rank": F.col("before") + F.row_number().over(within) - 1, "full_rank": F.col("full_before") + F.sum("whole").over(within.rowsBetween(Window.unboundedPreceding, -1))})
     ranked = ranked.withColumn("full_rank", F.coalesce("full_rank", "full_before"))
     table = defaultdict(list)
     for length, a, b, first in plan.rows:
