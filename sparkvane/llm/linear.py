@@ -19,6 +19,8 @@ from .textops import NULL_ID, U64, Tokens, chunks, mix, text_buffers
 DIMENSIONS, SAMPLE_ROWS = 1 << 20, 12_000
 #: Steps of a fit at least: small samples are gone through more often.
 LEAST_STEPS = 500
+#: Rows of a class without which it isn't learnt.
+LEAST_CLASS = 5
 
 
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +151,14 @@ def rounds(n: int, epochs: int, batch: int) -> int:
 def fit_logistic(index: np.ndarray, offs: np.ndarray, dense: np.ndarray, y: np.ndarray, positive: float = 1.0, epochs: int = 10, batch: int = 128, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the hashed and of the dense features, a constant first among these; positives count ``positive`` times.
 
-    With one class only, a constant model of that class; without rows, of the negative one.
+    With fewer than ``LEAST_CLASS`` rows of a class there is nothing to learn: a constant model of the other class; without
+    rows, of the negative one.
     """
     n = len(y)
     dense = np.column_stack([np.ones(n), dense])
     model = Adagrad(index, offs, dense)
-    if n == 0 or y.min() == y.max():
-        model.v[0] = 8 * (2 * y[0] - 1) if n else -8
+    if min(y.sum(), n - y.sum()) < LEAST_CLASS:
+        model.v[0] = 8 if y.sum() > n - y.sum() else -8
         return model.weights(), model.v
     rng = np.random.default_rng(seed)
     weight = np.where(y == 1, positive, 1.0)
