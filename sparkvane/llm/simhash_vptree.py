@@ -10,7 +10,8 @@ sign bits of their hashed sum, kept as four words of 64. Two documents are near
 The search is exact for that definition. Documents with equal fingerprint and length collapse first. A tree whose
 inner nodes are vantage points (a fingerprint, or the empty document for the thermometer part) is built from a bounded
 sample; each node splits at the median distance. Every fingerprint has one home leaf and visits, as a query, the leaves
-that the triangle bound can't exclude (distance within the radius of the split). A leaf compares home x (home + visitors).
+that the triangle bound can't exclude (distance within the radius of the split). A leaf compares home x (home + visitors); if the sample
+tells of more than ``VISITORS`` visitors, these are dealt over copies of the leaf, so that memory stays bounded.
 Of all vantage points tried for a node the one with the least overlap is taken.
 
 Nulls and edge cases: a null or wordless text has no fingerprint and no group; rows equal in id and text are one
@@ -30,7 +31,8 @@ from .common import HASH, KEY, checkpoint, components, keyed, unkey
 from .textops import U64, combine, mix, signed, text_buffers, tokens_of
 
 R64, R256, LEN_LEVELS = 18, 60, 8
-LEAF_ROWS = 65_536
+#: Rows that have their home in a leaf, and visitors of a leaf that are compared at a time, about.
+LEAF_ROWS, VISITORS = 65_536, 524_288
 SAMPLE_ROWS = 16_384
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.float32)
 
@@ -197,7 +199,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return keyed(docs.select("doc_id", "text")).select(*names, "text").mapInArrow(run, schema)
 
 
-def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_len: int = LEN_LEVELS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_len: int = LEN_LEVELS, leaf_rows: int = LEAF_ROWS, visitors: int = VISITORS) -> DataFrame:
     """(key, text hash, group key, group hash) of every document in a group of two or more; the group is named by its least (id, text hash)."""
     node = F.xxhash64("f0", "f1", "f2", "f3", "n_words")
     fps = checkpoint(fingerprint_table(docs).distinct().withColumn("node", node))
@@ -210,13 +212,24 @@ def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_l
     else:
         tree = Tree(sample["f0"].to_numpy().astype(np.int64).view(U64), length_level(sample["n_words"].to_numpy()), want, r64, r_len)
 
+    copies = np.ones(tree.leaves, np.int64)
+    if sample is not None:
+        for leaf, _, home in tree.route(sample["f0"].to_numpy().astype(np.int64).view(U64), length_level(sample["n_words"].to_numpy())):
+            copies[leaf] = max(1, -(-int((~home).sum()) * total // (len(sample) * visitors)))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word = batch.column("f0").to_numpy().view(U64)
             level = length_level(batch.column("n_words").to_numpy())
             for leaf, rows, home in tree.route(word, level):
+                n = int(copies[leaf])
+                # A visitor goes to one copy of the leaf, a row at home to all.
+                copy = np.where(home, 0, (mix(word[rows]) % U64(n)).astype(np.int64))
+                rows = np.concatenate([rows, np.tile(rows[home], n - 1)])
+                copy = np.concatenate([copy, np.repeat(np.arange(1, n), int(home.sum()))])
+                home = np.concatenate([home, np.ones(len(rows) - len(home), bool)])
                 part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(home), *part.columns], ["leaf", "home", *part.schema.names])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(copy.astype(np.int32)), pa.array(home), *part.columns], ["leaf", "copy", "home", *part.schema.names])
 
     def compare(table: pa.Table) -> pa.Table:
         level = length_level(table.column("n_words").to_numpy())
@@ -229,8 +242,8 @@ def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_l
         moved = np.flatnonzero(root != np.arange(len(ids)))
         return pa.table({"a": ids[root[moved]], "b": ids[moved]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    routed = nodes.mapInArrow(route, "leaf int, home boolean, node long, f0 long, f1 long, f2 long, f3 long, n_words long")
-    edges = routed.groupBy("leaf").applyInArrow(compare, "a long, b long")
+    routed = nodes.mapInArrow(route, "leaf int, copy int, home boolean, node long, f0 long, f1 long, f2 long, f3 long, n_words long")
+    edges = routed.groupBy("leaf", "copy").applyInArrow(compare, "a long, b long")
     roots = components(edges)
     member = fps.join(roots, "node", "left").select(KEY, HASH, F.coalesce("root", "node").alias("root"))
     group = member.groupBy("root").agg(F.min(F.struct(KEY, HASH)).alias("first"), F.count("*").alias("n_docs")).where("n_docs > 1")

@@ -577,10 +577,10 @@ def brute_groups(rows):
     return sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
-@pytest.mark.parametrize("leaf_rows", [65_536, 30])
-def test_near_duplicates_match_brute_force(spark, leaf_rows):
+@pytest.mark.parametrize(("leaf_rows", "visitors"), [(65_536, 524_288), (30, 524_288), (30, 25)])
+def test_near_duplicates_match_brute_force(spark, leaf_rows, visitors):
     rows = near_fixture()
-    g = simhash_vptree.near_duplicate_groups(docs(spark, rows), leaf_rows=leaf_rows).collect()
+    g = simhash_vptree.near_duplicate_groups(docs(spark, rows), leaf_rows=leaf_rows, visitors=visitors).collect()
     got = {}
     for r in g:
         got.setdefault(r["group_key"], []).append(r["__doc_key"])
