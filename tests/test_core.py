@@ -352,6 +352,12 @@ def test_streaming_upserts(spark, tmp_path):
     frame([("a", "2"), (None, "no id")]).write.mode("append").parquet(source)
     run()
     assert {r["doc_id"]: r["v"] for r in log.live().collect()} == {"a": "2", "b": "1"}
+    # The stream's own record of its last batch is lost: the batch is replayed, as the transaction that it was.
+    before = log.transactions()
+    (tmp_path / "ck" / "commits" / "1").unlink()
+    (tmp_path / "ck" / "commits" / ".1.crc").unlink()
+    run()
+    assert log.transactions() == before
 
 
 def test_ndjson_and_arxiv(spark, tmp_path):
