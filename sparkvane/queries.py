@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .operators import idsets, retrieval, telemetry
 from .operators.collection import Collection
 from .operators.embedding_store import EmbeddingStore, decoded
+from .operators.indexed import IndexedCollection
 from .operators.string_index import StringIndex
 from .operators.vector_index import VectorIndex
 from .plans.query import IntCompare, Multi, Not, Query, QueryBuilder, Similar, StringMatch
@@ -216,6 +217,30 @@ _indexed("idx_str_suffix", "ends_with", "g", "suffix(p_name, 'g')")
 _indexed("idx_str_contains", "contains", "e", "contains(p_name, 'e')")
 
 
+@query("SELECT p_partkey, 1.0::DOUBLE AS score FROM part WHERE (starts_with(p_name, 's') OR suffix(p_name, 'g')) AND NOT contains(p_name, 'e') AND p_size < 20")
+def indexed_tree(spark: SparkSession, d: str) -> DataFrame:
+    c = IndexedCollection.configured(_read(spark, d, "part"), {"string_indexes": "p_name"}, "p_partkey")
+    either = Multi("OR", (StringMatch("p_name", "starts_with", "s"), StringMatch("p_name", "ends_with", "g")))
+    return c.search_indexed(Multi("AND", (either, Not(_S), _SMALL)), fields=[]).withColumn("score", F.ceil("score").cast("double"))
+
+
+@query(f"WITH {_SCORED} SELECT vec_id, round(c, 6) AS score FROM scored WHERE c > 0 AND label < 5 ORDER BY c DESC, vec_id LIMIT 10")
+def indexed_nearest(spark: SparkSession, d: str) -> DataFrame:
+    c = IndexedCollection(_read(spark, d, "embeddings"), "vec_id").with_vector_index("embedding", 8)
+    return c.search_nearest("embedding", _vector(spark, d), 10, 8, IntCompare("label", "<", 5)).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, n_chars, NULL::VARCHAR AS n_chars__string FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, NULL, n_chars::VARCHAR FROM documents WHERE lang <> 'en'")
+def unify_kinds(spark: SparkSession, d: str) -> DataFrame:
+    df = _read(spark, d, "documents")
+    return documents.unify([df.where("lang = 'en'").select("doc_id", "n_chars"), df.where("lang <> 'en'").select("doc_id", F.col("n_chars").cast("string").alias("n_chars"))])
+
+
+@query("SELECT event_id, user_id, event_type, value::VARCHAR AS value, props FROM events WHERE event_type = 'click'")
+def coerce_documents(spark: SparkSession, d: str) -> DataFrame:
+    return documents.coerce(_read(spark, d, "events").where("event_type = 'click'").drop("ts"))
+
+
 def _set(name: str, combine: Callable[[DataFrame, DataFrame], DataFrame], condition: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         p = _parts(spark, d)
