@@ -72,7 +72,12 @@ def take(index: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
     """The sparse matrix of the given rows."""
     n = offs[rows + 1] - offs[rows]
     out = np.concatenate([[0], np.cumsum(n)])
-    return index[np.repeat(offs[rows] - out[:-1], n) + np.arange(out[-1])], out
+    picked = np.empty(int(out[-1]), index.dtype)
+    for s in range(0, len(rows), 256):
+        e = min(s + 256, len(rows))
+        at = np.repeat(offs[rows[s:e]] - out[s:e], n[s:e]) + np.arange(out[s], out[e])
+        picked[out[s] : out[e]] = index[at]
+    return picked, out
 
 
 def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, F.Column], rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -100,10 +105,9 @@ def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, F.Column], row
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(1, np.int64), {k: np.zeros(0, np.int64) for k in targets}
     lists = table.column("x").combine_chunks()
-    flat = lists.values.to_numpy().astype(np.int64)
-    offs = lists.offsets.to_numpy().astype(np.int64)
-    index, offs = take(flat, offs, order)
-    return index, offs, {k: table.column(k).to_numpy()[order].astype(np.int64) for k in targets}
+    y = {k: table.column(k).to_numpy()[order].astype(np.int64) for k in targets}
+    flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    return *take(flat, offs, order), y
 
 
 class Adagrad:
@@ -116,10 +120,13 @@ class Adagrad:
     LEAST_ROWS = 3
 
     def __init__(self, index: np.ndarray, offs: np.ndarray, dense: np.ndarray, rate: float = 0.3, l2: float = 1e-3) -> None:
-        used = np.bincount(index, minlength=DIMENSIONS) >= self.LEAST_ROWS
+        rows = np.zeros(DIMENSIONS, np.int32)
+        for s in range(0, len(index), 1 << 20):  # piecewise: the driver's memory is small
+            rows += np.bincount(index[s : s + (1 << 20)], minlength=DIMENSIONS).astype(np.int32)
+        used = rows >= self.LEAST_ROWS
         self.columns = np.flatnonzero(used)
         keep = used[index]
-        self.index = (np.cumsum(used) - 1)[index[keep]]
+        self.index = (np.cumsum(used, dtype=np.int32) - 1)[index[keep]]
         self.offs = np.concatenate([[0], np.cumsum(keep)])[offs]
         self.dense, self.rate, self.l2 = dense, rate, l2
         self.w, self.v = np.zeros(len(self.columns)), np.zeros(dense.shape[1])
