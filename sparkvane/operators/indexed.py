@@ -77,12 +77,12 @@ class IndexedCollection(Collection):
         narrowed = self.df.join(found[0], self.id_col, "left_semi").select(*self.df.columns)
         return self._with(narrowed).search(query, k, **options)
 
-    def search_nearest(self, field: str, vector: Sequence[float], k: int, nprobe: int = 8, query: Query | None = None, blend_match_all: bool = False) -> DataFrame:
+    def search_nearest(self, field: str, vector: Sequence[float], k: int, nprobe: int | None = None, query: Query | None = None, blend_match_all: bool = False) -> DataFrame:
         """Approximate nearest documents; with ``query``, among its matches, which are found exactly."""
         if field not in self.vector_indexes:
             return self.search(Similar(field, tuple(vector)), k)
         index = self.vector_indexes[field]
         if query is not None:
             matches = self.scored(query).select(self.id_col)
-            index = VectorIndex(index.lists.join(matches, self.id_col, "left_semi"), index.centroids, field, self.id_col)
+            index = VectorIndex(index.lists.join(matches, self.id_col, "left_semi"), index.centroids, field, self.id_col)  # without ``nprobe`` all lists
         return index.search(vector, k, nprobe, blend_match_all=blend_match_all)

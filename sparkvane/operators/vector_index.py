@@ -2,6 +2,9 @@
 
 Centroids come from spherical k-means on a bounded sample; every vector belongs to the list of its nearest centroid. A query reads the
 ``nprobe`` lists whose centroids are nearest, and ranks their vectors exactly. With ``nprobe = nlist`` the result is exact.
+
+Unless it is given, ``nprobe`` is measured when the index is built: the fewest lists that hold ``RECALL`` of the best k others of
+some vectors of the sample. The sample is sparser than the table, so its neighbours are farther away and need no fewer lists.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from ..plans.query import Similar
 from .collection import Collection
 
 SAMPLE_ROWS, ITERATIONS = 20_000, 12
+#: Share of the best k that the lists probed must hold in the sample, the vectors it is measured on, and the k it is measured for.
+RECALL, MEASURED_ROWS, MEASURED_K = 0.95, 500, (1, 10, 100, 1000)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -39,11 +44,29 @@ def spherical_kmeans(x: np.ndarray, k: int, iterations: int = ITERATIONS, seed:
     return c
 
 
+def measured_probes(x: np.ndarray, centroids: np.ndarray) -> list[int]:
+    """For each of ``MEASURED_K``, the fewest lists that hold ``RECALL`` of the best k others of the first rows of x; all lists where x has too few rows."""
+    x, nlist = _unit(x.astype(np.float64)), len(centroids)
+    list_of = (x @ centroids.T).argmax(axis=1)
+    found = np.zeros((len(MEASURED_K), nlist), np.int64)  # true neighbours by the place of their list in the query's order
+    for s in range(0, min(MEASURED_ROWS, len(x)), 100):
+        q = np.arange(s, min(s + 100, MEASURED_ROWS, len(x)))
+        score = x[q] @ x.T
+        score[np.arange(len(q)), q] = -np.inf
+        place = np.argsort(np.argsort(-(x[q] @ centroids.T), axis=1, kind="stable"), axis=1)
+        for i, k in enumerate(MEASURED_K):
+            if k < len(x):
+                best = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                found[i] += np.bincount(np.take_along_axis(place, list_of[best], 1).ravel(), minlength=nlist)
+    share = np.cumsum(found, axis=1) / np.maximum(found.sum(axis=1, keepdims=True), 1)
+    return [int(np.argmax(r >= RECALL)) + 1 if r[-1] else nlist for r in share]
+
+
 class VectorIndex:
-    """``lists`` holds the documents with the number of their list in ``list_id``; -1 for documents without a vector."""
+    """``lists`` holds the documents with the number of their list in ``list_id``; -1 for documents without a vector. ``probes``: lists to read by ``MEASURED_K``."""
 
-    def __init__(self, lists: DataFrame, centroids: np.ndarray, field: str, id_col: str) -> None:
-        self.lists, self.centroids, self.field, self.id_col = lists, centroids, field, id_col
+    def __init__(self, lists: DataFrame, centroids: np.ndarray, field: str, id_col: str, probes: Sequence[int] = ()) -> None:
+        self.lists, self.centroids, self.field, self.id_col, self.probes = lists, centroids, field, id_col, tuple(probes)
 
     @property
     def nlist(self) -> int:
@@ -60,20 +83,25 @@ class VectorIndex:
             raise ValueError("no vectors to index")
         x = np.array(rows.column(0).to_pylist(), dtype=np.float64)
         centroids = spherical_kmeans(x, nlist)
-        return cls(_assign(df, field, centroids), centroids, field, id_col)
+        return cls(_assign(df, field, centroids), centroids, field, id_col, measured_probes(x, centroids))
 
     def write(self, path: str) -> VectorIndex:
         """One folder for each list, so that a query's lists are the only ones read."""
         spark = self.lists.sparkSession
         self.lists.repartition("list_id").write.partitionBy("list_id").parquet(f"{path}/lists")
-        rows = [(i, [float(v) for v in c]) for i, c in enumerate(self.centroids)]
-        spark.createDataFrame(rows, "list_id int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        rows = [(i, [float(v) for v in c], list(self.probes)) for i, c in enumerate(self.centroids)]
+        spark.createDataFrame(rows, "list_id int, centroid array<double>, probes array<int>").coalesce(1).write.parquet(f"{path}/centroids")
         return VectorIndex.read(spark, path, self.field, self.id_col)
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, field: str, id_col: str = "doc_id") -> VectorIndex:
         rows = spark.read.parquet(f"{path}/centroids").orderBy("list_id").collect()
-        return cls(spark.read.parquet(f"{path}/lists"), np.array([r["centroid"] for r in rows]), field, id_col)
+        probes = rows[0]["probes"] if "probes" in rows[0] else ()  # an index without them is searched exactly
+        return cls(spark.read.parquet(f"{path}/lists"), np.array([r["centroid"] for r in rows]), field, id_col, probes)
+
+    def nprobe(self, k: int) -> int:
+        """The lists that a search for the best ``k`` reads; all for a k beyond those measured."""
+        return next((n for m, n in zip(MEASURED_K, self.probes, strict=False) if m >= k), self.nlist)
 
     def probe(self, vector: Sequence[float], nprobe: int) -> list[int]:
         """The lists nearest to a vector."""
@@ -85,13 +113,16 @@ class VectorIndex:
     def candidates(self, vector: Sequence[float], nprobe: int) -> DataFrame:
         return self.lists.where(F.col("list_id").isin(self.probe(vector, nprobe))).drop("list_id")
 
-    def search(self, vector: Sequence[float], k: int, nprobe: int = 8, where: F.Column | None = None, blend_match_all: bool = False) -> DataFrame:
+    def search(self, vector: Sequence[float], k: int, nprobe: int | None = None, where: F.Column | None = None, blend_match_all: bool = False) -> DataFrame:
         """The best ``k`` of the lists probed, by score and id.
 
+        Without ``nprobe`` as many lists are read as the recall measured asks for; with a filter, for which none was measured, all.
         With a filter, or too few hits, more lists are read (twice as many each time) until k are found or all lists are read, so a
         filter never hides matches. ``blend_match_all`` gives scores as the mean of the similarity and 1. Documents
         with a similarity of 0 or less are left out.
         """
+        if nprobe is None:
+            nprobe = self.nprobe(k) if where is None else self.nlist
         probes = max(1, nprobe)
         while True:
             found = self.candidates(vector, probes)
@@ -102,7 +133,7 @@ class VectorIndex:
             probes *= 2
         return hits.withColumn("score", (F.col("score") + 1) / 2) if blend_match_all else hits
 
-    def recall(self, vectors: Sequence[Sequence[float]], k: int, nprobe: int) -> float:
+    def recall(self, vectors: Sequence[Sequence[float]], k: int, nprobe: int | None = None) -> float:
         """Share of the exact best k that the index finds, over the given queries."""
         hit = total = 0
         everything = Collection(self.lists.drop("list_id"), self.id_col)

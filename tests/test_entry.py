@@ -5,9 +5,11 @@ import decimal
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as e
+from sparkvane.operators.vector_index import VectorIndex
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -43,3 +45,20 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(e.queries()) - set(e.oracle_sql())))
 def test_query_without_sql_runs(spark, name):
     assert e.queries()[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ann_topk_recall_on_the_tables(spark, sf):
+    """Every row as a query: what its lists hold of the exact best 10. The registered query against brute force."""
+    d = f"/root/testdata/{sf}"
+    index = VectorIndex.build(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", "vec_id")
+    rows = index.lists.select("vec_id", "embedding", "list_id").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    list_of, ids = np.array([r["list_id"] for r in rows]), [r["vec_id"] for r in rows]
+    best = np.argsort(-(x @ x.T), axis=1)[:, :10]
+    kept = [np.isin(list_of[b], index.probe(v, index.nprobe(10))) for v, b in zip(x, best)]
+    assert np.mean(kept) >= 0.9 and index.nprobe(10) < index.nlist
+    found = {r["vec_id"] for r in e.queries()["ann_topk"](spark, d).collect()}
+    assert {ids[b] for b, k in zip(best[ids.index(0)], kept[ids.index(0)]) if k} <= found
+    assert len(found & {ids[b] for b in best[ids.index(0)]}) >= 9
