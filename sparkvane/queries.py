@@ -93,6 +93,13 @@ def vec_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).search_batch(asked, "embedding", 5).withColumn("score", F.round("score", 6))
 
 
+@query()
+def vec_batch_topk_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every row is a query. Without SQL, which would work out all pairs in lists; tested against brute force."""
+    asked = _read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return _embeddings(spark, d).search_batch(asked, "embedding", 5).withColumn("score", F.round("score", 6))
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label = 3")
 def projection(spark: SparkSession, d: str) -> DataFrame:
     return _embeddings(spark, d).search(IntCompare("label", "=", 3), fields=["label"]).drop("score")

@@ -62,3 +62,16 @@ def test_ann_topk_recall_on_the_tables(spark, sf):
     found = {r["vec_id"] for r in e.queries()["ann_topk"](spark, d).collect()}
     assert {ids[b] for b, k in zip(best[ids.index(0)], kept[ids.index(0)]) if k} <= found
     assert len(found & {ids[b] for b in best[ids.index(0)]}) >= 9
+
+
+def test_batch_top_k_of_every_row(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    score = (x @ x.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
+    want = {}
+    for q, s in zip(ids, score):
+        best = np.lexsort((ids, -s))[:5]
+        want |= {(int(q), r + 1): (int(ids[b]), s[b]) for r, b in enumerate(best) if s[b] > 0}
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in e.queries()["vec_batch_topk_all"](spark, "/root/testdata/sf0.01").collect()}
+    assert {q for q, _ in got} == set(ids.tolist()) and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
