@@ -37,8 +37,17 @@ def tile(a: np.ndarray, b: np.ndarray, least: int = SEED) -> list[tuple[int, int
     tiles: list[tuple[int, int, int]] = []
     length = _longest(a, b, free_a, free_b, least, min(len(a), len(b)))
     while length >= least:
-        for i, j in _matches(a, b, free_a, free_b, length):
-            if free_a[i : i + length].all() and free_b[j : j + length].all():
+        at_a, lo, hi, at_b = _matches(a, b, free_a, free_b, length)
+        tried: dict[int, int] = {}  # by hash: windows of b before this one are marked, and stay so
+        for i, first, end in zip(at_a, lo, hi, strict=True):
+            if not free_a[i : i + length].all():
+                continue
+            m = tried.get(first, first)
+            while m < end and not free_b[at_b[m] : at_b[m] + length].all():
+                m += 1
+            tried[first] = m
+            if m < end:
+                j = at_b[m]
                 free_a[i : i + length] = free_b[j : j + length] = False
                 tiles.append((i, j, length))
         length = _longest(a, b, free_a, free_b, least, length - 1)
@@ -66,12 +75,14 @@ def _longest(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarra
     return lo
 
 
-def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, length: int) -> list[tuple[int, int]]:
+def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, length: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Starts in a that have a match; for each the range [from, to) of its matches in the last list, which has the starts in b."""
     at_a, at_b = _open(free_a, length), _open(free_b, length)
     ha, hb = window_hashes(a, length)[at_a], window_hashes(b, length)[at_b]
     order = np.argsort(hb, kind="stable")
     lo, hi = np.searchsorted(hb[order], ha, "left"), np.searchsorted(hb[order], ha, "right")
-    return [(int(at_a[k]), int(at_b[order[m]])) for k in np.flatnonzero(hi > lo) for m in range(lo[k], hi[k])]
+    some = hi > lo
+    return at_a[some].tolist(), lo[some].tolist(), hi[some].tolist(), at_b[order].tolist()
 
 
 class Items:
@@ -89,7 +100,7 @@ class Items:
                     hashes.append(w)
                     owners.append(np.full(len(w), i + d))
         h, o = (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, U64), np.zeros(0, np.int64))
-        pair = np.unique(np.stack([signed(h), o], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.int64)
+        pair, self.times = np.unique(np.stack([signed(h), o], axis=1), axis=0, return_counts=True) if len(h) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
         self.seed, self.owner = pair[:, 0], pair[:, 1]
         self.widths = sorted({min(SEED, len(w)) for w in self.words if len(w) >= MIN_ITEM}, reverse=True)
         self.distinct = np.unique(self.seed)
@@ -108,11 +119,13 @@ class Items:
         return np.concatenate(at), np.concatenate(found)
 
     def candidates(self, seeds: np.ndarray) -> np.ndarray:
-        """Items of which enough distinct seeds occur to reach the coverage: each seed covers at most ``SEED`` words."""
+        """Items of which enough seeds occur to reach the coverage: each place of a seed in the item covers at most ``SEED`` words."""
         seeds = np.unique(seeds)
         lo, hi = np.searchsorted(self.seed, seeds, "left"), np.searchsorted(self.seed, seeds, "right")
         owner = np.concatenate([self.owner[a:b] for a, b in zip(lo, hi, strict=True)]) if len(seeds) else np.zeros(0, np.int64)
-        item, n = np.unique(owner, return_counts=True)
+        times = np.concatenate([self.times[a:b] for a, b in zip(lo, hi, strict=True)]) if len(seeds) else np.zeros(0, np.int64)
+        item, at = np.unique(owner, return_inverse=True)
+        n = np.bincount(at, times, len(item))
         need = np.array([COVERAGE * len(self.words[i]) / SEED for i in item])
         return item[n >= need]
 
@@ -183,16 +196,17 @@ def _contaminated_by_join(source: DataFrame, benchmark: DataFrame, threshold: fl
                         is_item = key_columns[0] != KEY
                         widths = [min(SEED, len(h))] if is_item else list(range(MIN_ITEM, SEED + 1))
                         for width in widths if len(h) >= MIN_ITEM else []:
-                            w = np.unique(signed(window_hashes(h, width)))
-                            yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array([batch.column(k)[i + d].as_py()] * len(w), batch.schema.field(k).type) for k in key_columns), pa.array(np.full(len(w), len(h), np.int32))], ["seed", *key_columns, "n"])
+                            w, times = np.unique(signed(window_hashes(h, width)), return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array([batch.column(k)[i + d].as_py()] * len(w), batch.schema.field(k).type) for k in key_columns), pa.array(np.full(len(w), len(h), np.int32)), pa.array(times.astype(np.int32))], ["seed", *key_columns, "n", "times"])
 
         return run
 
     items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-(1 << 63))).alias("item"), F.col("text"))
     items = items.withColumn("item_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    item_seeds = items.select("item", "item_hash", "text").mapInArrow(seeds_of(["item", "item_hash"]), "seed long, item long, item_hash long, n int")
-    doc_seeds = source.mapInArrow(seeds_of([KEY, HASH]), f"seed long, {KEY} long, {HASH} long, n int").drop("n")
-    pairs = doc_seeds.join(item_seeds, "seed").groupBy(KEY, HASH, "item", "item_hash").agg(F.count_distinct("seed").alias("m"), F.first("n").alias("n")).where(F.col("m") >= F.col("n") * COVERAGE / SEED)
+    item_seeds = items.select("item", "item_hash", "text").mapInArrow(seeds_of(["item", "item_hash"]), "seed long, item long, item_hash long, n int, times int")
+    doc_seeds = source.mapInArrow(seeds_of([KEY, HASH]), f"seed long, {KEY} long, {HASH} long, n int, times int").drop("n", "times")
+    met = doc_seeds.join(item_seeds, "seed").groupBy(KEY, HASH, "item", "item_hash", "seed").agg(F.first("times").alias("times"), F.first("n").alias("n"))
+    pairs = met.groupBy(KEY, HASH, "item", "item_hash").agg(F.sum("times").alias("m"), F.first("n").alias("n")).where(F.col("m") >= F.col("n") * COVERAGE / SEED)
     both = pairs.join(source.dropDuplicates([KEY, HASH]), [KEY, HASH]).join(items.withColumnRenamed("text", "item_text").distinct(), ["item", "item_hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -530,6 +530,18 @@ def test_contamination_by_both_paths(spark):
         string_tiling.contaminated(docs(spark, rows), bench, 0.3)
 
 
+def test_contamination_by_items_that_repeat_themselves(spark):
+    phrase, digits = "alpha beta gamma delta epsilon", "7 7 7 7 7 7 7 7 7 7"
+    items = [(1, " ".join([phrase] * 20)), (2, " ".join([digits] * 8)), (3, "so " * 50), (4, "one two three four five six seven eight nine ten eleven twelve")]
+    rows = [(10 * i, f"before it {t} and after") for i, t in items] + [(50, f"once {phrase} only"), (60, "7 7 7 7 7 once"), (70, "nothing at all of these")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(rows, items)
+    assert want == {(10, 1), (20, 2), (30, 3), (40, 4)}
+    for seeds in (string_tiling.BROADCAST_SEEDS, 0):
+        got = string_tiling.contaminated(docs(spark, rows + rows[:2]), bench, broadcast_seeds=seeds).collect()
+        assert {(r["__doc_key"], r["item_id"]) for r in got} == want and len(got) == len(want) and all(r["coverage"] == 1 for r in got)
+
+
 def test_contamination_awkward(spark):
     bench = spark.createDataFrame([(1, "null id here with words"), (2, None)], "item_id long, text string")
     df = docs(spark, AWKWARD)
