@@ -4,7 +4,8 @@ Every text becomes a sequence of word hashes. In rounds, runs of one symbol and
 new symbols. A new symbol's name is a 64-bit function of what it replaces and of the round, and which side of a pair a
 symbol may take in a round is a bit of its name; so all partitions name equal runs and pairs alike, without exchanging a
 dictionary. Equal substrings therefore get equal symbols but for a few at their ends. A symbol that covers at least
-``FROZEN`` words merges no further, so high-level symbols cover 8 to 14 words.
+``FROZEN`` words merges no further, so high-level symbols cover 8 to 14 words. Rounds go on until no two neighbours can merge,
+however often a text makes the same choice, so of any two neighbours one at least is frozen.
 
 1. ``symbols``: frozen symbols of every document, shuffled by name; those that occur twice or more are shared.
 2. Each window of ``min_words`` words that holds a shared symbol is hashed (Karp-Rabin over the word hashes), and the
@@ -21,6 +22,7 @@ Words are split at ASCII white space; case and punctuation count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as counting
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +33,16 @@ from .common import HASH, KEY, keyed, unkey
 from .textops import U64, combine, mix, signed, text_buffers, tokens_of, window_hashes
 
 MIN_WORDS = 50
-FROZEN, ROUNDS = 8, 12
+FROZEN = 8
 
 
-def recompress(h: np.ndarray, doc: np.ndarray, frozen: int = FROZEN, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def recompress(h: np.ndarray, doc: np.ndarray, frozen: int = FROZEN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of the last round over all documents of a chunk: (name, words covered, first word)."""
     sym, length, start = h.copy(), np.ones(len(h), np.int64), np.arange(len(h))
-    for r in range(rounds):
-        if len(sym) < 2:
-            break
+    for r in counting():
         same_doc = doc[1:] == doc[:-1]
+        if not (same_doc & (length[1:] < frozen) & (length[:-1] < frozen)).any():
+            break
         equal = (sym[1:] == sym[:-1]) & same_doc & (length[1:] < frozen)
         if equal.any():  # runs: blocks of equal symbols from the start of the run, of at most `frozen` words or two symbols
             index = np.arange(len(sym))

@@ -145,6 +145,24 @@ def test_recompression_never_misses_a_repeat():
         assert len({d for _, d in sides[0] & sides[1]}) == n
 
 
+def test_recompression_never_misses_a_periodic_repeat():
+    rng = np.random.default_rng(8)
+    for length in (60, 400):
+        n, missed = 300, 0
+        for period in range(2, 12):
+            lines = rng.integers(1, 1 << 62, (n, period)).astype(U64)
+            same = np.tile(lines, (1, -(-length // period)))[:, :length]
+            sides = []
+            for _ in range(2):
+                x = rng.integers(1, 1 << 62, (n, length + 80)).astype(U64)
+                x[:, 40 : 40 + length] = same
+                sym, size, start = recompression.recompress(x.ravel(), np.repeat(np.arange(n), length + 80))
+                high = (size >= recompression.FROZEN) & (start % (length + 80) >= 40) & (start % (length + 80) + size <= 40 + length)
+                sides.append({(int(s), int(p) // (length + 80)) for s, p in zip(sym[high], start[high])})
+            missed += n - len({d for _, d in sides[0] & sides[1]})
+        assert missed == 0, (length, missed)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=0, max_size=200))
 def test_recompression_covers_the_text(x):
