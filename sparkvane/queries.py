@@ -248,6 +248,12 @@ def coerce_documents(spark: SparkSession, d: str) -> DataFrame:
     return documents.coerce(_read(spark, d, "events").where("event_type = 'click'").drop("ts"))
 
 
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || rtrim(rtrim(strftime(ts, '.%f'), '0'), '.') AS ts, user_id, event_type, value::VARCHAR AS value, props FROM events")
+def coerce_documents_all(spark: SparkSession, d: str) -> DataFrame:
+    """The whole table with its timestamps."""
+    return documents.coerce(_read(spark, d, "events"))
+
+
 def _set(name: str, combine: Callable[[DataFrame, DataFrame], DataFrame], condition: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         p = _parts(spark, d)
