@@ -27,7 +27,6 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _K1, _K2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
-NULL_ID = -(1 << 63)  # a null doc_id counts as this id
 
 _rng = np.random.default_rng(20240229)
 _BYTE_VALUES = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -165,15 +164,27 @@ def tokens_of(data: np.ndarray, offs: np.ndarray, fold: bool = False, size: int
         yield i, j, Tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], fold)
 
 
+class Ranges:
+    """Karp-Rabin hashes of ranges [a, b) of token hashes."""
+
+    def __init__(self, h: np.ndarray) -> None:
+        up, self._down = _powers.upto(len(h) + 1)
+        self._total = np.zeros(len(h) + 1, dtype=U64)
+        np.cumsum(h * up[: len(h)], out=self._total[1:])
+
+    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((self._total[b] - self._total[a]) * self._down[a] + (b - a).astype(U64))
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     """Karp-Rabin hashes of all windows of ``width`` consecutive token hashes: entry i covers i .. i + width - 1."""
-    n = len(h) - width + 1
-    if n <= 0:
-        return np.zeros(0, U64)
-    up, down = _powers.upto(len(h) + 1)
-    total = np.zeros(len(h) + 1, dtype=U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[:n] + U64(width))
+    at = np.arange(max(0, len(h) - width + 1))
+    return Ranges(h).hash(at, at + width)
+
+
+def second(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same tokens, for a check that doesn't share the first hash's collisions of sums."""
+    return mix(h ^ U64(0xA5A5A5A55A5A5A5B))
 
 
 def token_hashes(text: str, fold: bool = True) -> np.ndarray:
@@ -181,10 +192,5 @@ def token_hashes(text: str, fold: bool = True) -> np.ndarray:
     return Tokens(data, np.array([0, len(data)]), fold).hash
 
 
-def ids_of(column: pa.Array) -> np.ndarray:
-    """doc_id as int64; null counts as ``NULL_ID``."""
-    return column.cast(pa.int64()).fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
