@@ -4,15 +4,18 @@ A pre-token is a maximal run of bytes other than ASCII white space, with the mar
 segmentation maximises the sum of the pieces' scores. The distinct pre-tokens of a chunk of documents form a trie; the forward
 score of a trie node (a prefix) depends on its ancestors only, so it is computed once for all pre-tokens that share the prefix,
 depth by depth for all nodes of that depth at a time, and the number of tokens stored at a terminal node is that pre-token's count.
+Counts are remembered within a worker, so later chunks only bring their new pre-tokens. Pre-tokens of more than ``LONG`` bytes, whose prefixes hardly
+anything shares, take the same steps one by one along their own path.
 
-The vocabulary comes from a public tokenizer file whose path is a parameter. Such a file ranks its pieces; a piece's score
-is its log probability under Zipf's law, -log(rank + 2). A character that is no piece falls back to its bytes: one token each,
+The vocabulary comes from a public tokenizer file whose path is a parameter. Log probabilities in it are taken as they are; a file that
+only ranks its pieces (whole numbers) gives a piece's score by Zipf's law, -log(rank + 2). A character that is no piece falls back to its bytes: one token each,
 at a score below every piece's.
 
 Chunks are independent, so nothing is shuffled: the counts of a document need only its own chunk's trie.
 
 Nulls and edge cases: a null, empty or blank text has 0 pre-tokens and 0 tokens; every row is counted, repeated ones alike; a null doc_id
-stays null; extra columns are ignored. Very long pre-tokens are handled whole.
+stays null and ids may be of any type; extra columns are ignored, whatever their names; an empty table gives no rows. Very long texts and pre-tokens are handled whole. Of segmentations with equal
+sums (within 1e-9) the one with the longest last piece counts, and so on towards the front.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .textops import _BYTE_VALUES, U64, _powers, mix, text_buffers, tokens_of
+from .common import id_type
+from .textops import _BYTE_VALUES, U64, Tokens, _powers, mix, text_buffers, tokens_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 CHUNK = 4 << 20
+#: Bytes of a pre-token that goes through the trie, and pre-tokens whose counts a worker remembers.
+LONG, MEMORY = 64, 500_000
 
 
 class Vocabulary:
@@ -49,6 +54,7 @@ class Vocabulary:
         self.fallback = float(self.score.min()) - 10 if len(self.score) else -10.0
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.key & U64(0xFFFFF)).astype(np.int64)] = True
+        self.memory: dict[int, int] = {}  # by a pre-token's hash
 
     def scores(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the keys are pieces, their scores)."""
@@ -60,12 +66,19 @@ class Vocabulary:
 
 
 def load_vocabulary(path: str = VOCABULARY) -> Vocabulary:
-    """The normal pieces of a sentencepiece file, scored by rank."""
+    """The normal pieces of a sentencepiece file, with their log probabilities, or scored by rank where it has none."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return Vocabulary([(p, -float(np.log(r + 2))) for r, p in enumerate(pieces)])
+    ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
+    return Vocabulary(scored([(model.id_to_piece(i), model.get_score(i)) for i in ids]))
+
+
+def scored(pieces: list[tuple[str, float]]) -> list[tuple[str, float]]:
+    """Pieces with log probabilities: those given, or by Zipf's law if all are whole numbers, which are ranks."""
+    if any(s != int(s) for _, s in pieces):
+        return pieces
+    return [(p, -float(np.log(r + 2))) for r, (p, _) in enumerate(pieces)]
 
 
 def _prefix(buffer: np.ndarray) -> np.ndarray:
@@ -129,20 +142,86 @@ def word_counts(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
+def segment(word: bytes, vocabulary: Vocabulary, block: int = 1 << 20) -> tuple[int, bytearray]:
+    """(number of tokens, size of the last piece of each prefix's best segmentation) of one word with its mark before it."""
+    raw = MARK + word
+    n, sizes = len(raw), vocabulary.sizes[::-1]
+    longest = int(sizes[0]) if len(sizes) else 1
+    ring = 1 << max(4, longest.bit_length())  # the last scores and counts, by place modulo this
+    best, count, last = [0.0] * ring, [0] * ring, bytearray(n + 1)
+    for lo in range(0, n, block):
+        hi = min(n, lo + block)
+        base = max(0, lo - longest)
+        buffer = np.frombuffer(raw[base:hi], np.uint8)
+        total, (_, down) = _prefix(buffer), _powers.upto(len(buffer) + 1)
+        ends, lengths, values = [], [], []
+        for size in sizes.tolist():
+            start = np.arange(max(0, lo + 1 - size - base), len(buffer) - size + 1)  # pieces that end within the block
+            hit, value = vocabulary.scores(_name(total, down, start, start + size)) if len(start) else (start, start)
+            ends.append(start[hit] + size + base)
+            lengths.append(np.full(len(hit), size))
+            values.append(value)
+        end = np.concatenate(ends) if ends else np.zeros(0, np.int64)
+        order = np.argsort(end, kind="stable")  # keeps longer pieces first
+        at = np.searchsorted(end[order], np.arange(lo + 1, hi + 2)).tolist()
+        length, value = np.concatenate(lengths)[order].tolist() if ends else [], np.concatenate(values)[order].tolist() if ends else []
+        for d in range(lo + 1, hi + 1):
+            p = (d - 1) % ring
+            score, tokens, back = best[p] + (vocabulary.fallback if raw[d - 1] & 0xC0 != 0x80 else 0.0), count[p] + 1, 1
+            for k in range(at[d - lo - 1], at[d - lo]):
+                q = (d - length[k]) % ring
+                v = value[k] + best[q]
+                if v > score + 1e-9:
+                    score, tokens, back = v, count[q] + 1, length[k]
+            q = d % ring
+            best[q], count[q], last[d] = score, tokens, back
+    return count[n % ring], last
+
+
+def token_ends(word: bytes, vocabulary: Vocabulary) -> np.ndarray:
+    """Ends, in bytes of the word, of the tokens of its best segmentation."""
+    _, last = segment(word, vocabulary)
+    ends, d = [], len(last) - 1
+    while d > 0:
+        ends.append(d)
+        d -= last[d]
+    return np.maximum(np.array(ends[::-1], np.int64) - len(MARK), 0)
+
+
+def counted(data: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int, Tokens, np.ndarray]]:
+    """(from, to, pre-tokens, number of tokens of each) of each chunk of documents."""
+    memory = vocabulary.memory
+    for i, j, t in tokens_of(data, offs, size=CHUNK):
+        names, rep, which = np.unique(t.hash, return_index=True, return_inverse=True)
+        names = names.tolist()
+        new = [k for k, h in enumerate(names) if h not in memory]
+        raw = data[offs[i] : offs[j]].tobytes()
+        words = [raw[a:b] for a, b in zip(t.start[rep[new]].tolist(), t.end[rep[new]].tolist(), strict=True)]
+        if len(memory) + len(words) > MEMORY:
+            known = [memory.get(h, 0) for h in names]
+            memory.clear()
+        else:
+            known = None
+        counts = {}
+        short = [k for k, w in enumerate(words) if len(w) <= LONG]
+        counts.update(zip(short, word_counts([words[k] for k in short], vocabulary).tolist(), strict=True))
+        counts.update((k, segment(w, vocabulary)[0]) for k, w in enumerate(words) if len(w) > LONG)
+        fresh = {names[at]: counts[k] for k, at in enumerate(new)}
+        memory.update(fresh)
+        found = [memory[h] for h in names] if known is None else [fresh.get(h, v) for h, v in zip(names, known, strict=True)]
+        yield i, j, t, np.array(found, np.int64)[which]
+
+
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
             words, tokens = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for i, j, t in tokens_of(data, offs, size=CHUNK):
+            for i, j, t, count in counted(*text_buffers(batch.column("text")), shared.value):
                 words[i:j] = np.diff(t.first)
-                _, rep, which = np.unique(t.hash, return_index=True, return_inverse=True)
-                raw = data[offs[i] : offs[j]].tobytes()
-                distinct = [raw[a:b] for a, b in zip(t.start[rep].tolist(), t.end[rep].tolist(), strict=True)]
-                tokens[i:j] = np.bincount(t.doc, weights=word_counts(distinct, shared.value)[which], minlength=j - i)
+                tokens[i:j] = np.bincount(t.doc, weights=count, minlength=j - i)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words), pa.array(tokens)], ["doc_id", "n_pretokens", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, n_pretokens long, n_tokens long")
