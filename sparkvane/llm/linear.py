@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY
-from .textops import NULL_ID, U64, Tokens, chunks, mix, text_buffers
+from .common import hashed_sample
+from .textops import U64, Tokens, chunks, mix, text_buffers
 
-#: Number of hashed features, and the bound on labelled rows that a model is fitted on (the rows of least hashed id).
+#: Number of hashed features, and the bound on labelled rows that a model is fitted on (chosen by hashed id).
 DIMENSIONS, SAMPLE_ROWS = 1 << 20, 12_000
 #: Steps of a fit at least: small samples are gone through more often.
 LEAST_STEPS = 500
@@ -84,28 +84,29 @@ def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, F.Column], row
     """Features and targets of at most ``rows`` labelled documents, in the order of their hashed ids.
 
     Labels with a null id or a null target, and ids without a document, are left out; of repeated labels for an id the
-    least counts. The chosen ids are at most ``rows``, so their broadcast is bounded.
+    least counts, of several documents with one id the text of least hash. The chosen ids are at most ``rows``, so their broadcast is bounded, and so
+    is what reaches the driver.
     """
-    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias(KEY), *[c.cast("int").alias(k) for k, c in targets.items()]).dropna()
-    one = known.groupBy(KEY).agg(F.min(F.struct(*targets)).alias("y")).select(KEY, "y.*")
-    chosen = one.orderBy(F.xxhash64(KEY), KEY).limit(rows)
-    text = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias(KEY), "text")
-    joined = text.join(F.broadcast(chosen), KEY)
-    names = list(targets)
+    known = labels.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("id"), *[c.cast("int").alias(f"y{k}") for k, c in enumerate(targets.values())]).dropna()
+    names = [f"y{k}" for k in range(len(targets))]
+    one = known.groupBy("id").agg(F.min(F.struct(*names)).alias("y")).select("id", "y.*")
+    chosen = hashed_sample(one, rows, "id")
+    text = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = text.join(F.broadcast(chosen), "id").groupBy("id", *names).agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    joined = joined.select(F.xxhash64("id").alias("h"), *names, "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index, offs = features(*text_buffers(batch.column("text")))
             lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(index, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(KEY), *[batch.column(k) for k in names], lists], [KEY, *names, "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *[batch.column(k) for k in names], lists], ["h", *names, "x"])
 
-    schema = f"{KEY} long, " + ", ".join(f"{k} int" for k in targets) + ", x array<int>"
-    table = joined.select(KEY, *targets, "text").mapInArrow(run, schema).toArrow().combine_chunks()
-    order = np.argsort(mix(table.column(KEY).to_numpy().view(U64)), kind="stable")
+    table = joined.mapInArrow(run, "h long, " + ", ".join(f"{k} int" for k in names) + ", x array<int>").toArrow().combine_chunks()
+    order = np.argsort(table.column("h").to_numpy(), kind="stable")
     if not len(order):
         return np.zeros(0, np.int64), np.zeros(1, np.int64), {k: np.zeros(0, np.int64) for k in targets}
     lists = table.column("x").combine_chunks()
-    y = {k: table.column(k).to_numpy()[order].astype(np.int64) for k in targets}
+    y = {k: table.column(n).to_numpy()[order].astype(np.int64) for k, n in zip(targets, names, strict=True)}
     flat, offs = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
     return *take(flat, offs, order), y
 

@@ -4,8 +4,11 @@ Documents carry an ordered grade: 0 for low quality, 1 for good but toxic, 2 for
 shared by all grades; ordered thresholds t1 < t2 give the tails P(grade >= k) = sigmoid(w x - t_k). The expected
 grade is the sum of the tails. The model is fitted on a bounded sample of labelled rows; every document is scored.
 
-Nulls and edge cases: a null or empty text is scored as a text without features; null labels are left out; without labels every tail is
-an uninformed constant. Every row is scored, repeated ones alike. ``selected`` holds where P(grade >= 1) is over one half.
+``selected`` holds where P(grade is the highest) is over one half, so neither low quality nor toxic texts are.
+
+Nulls and edge cases: a null or empty text is scored as a text without features; very long texts are scored whole; null labels are left out; without labels every tail is
+an uninformed constant, and nothing is selected. Every row is scored, repeated ones and ties alike; ids may be null, repeated or of any type; of several labels for
+an id the least counts. Extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
 from .linear import SAMPLE_ROWS, Adagrad, features, rounds, sample, sigmoid, sums
 from .textops import text_buffers
 
@@ -82,6 +86,6 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = shared.value.tails(*features(*text_buffers(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(p.sum(axis=1), 6)), *[pa.array(np.round(c, 6)) for c in p.T], pa.array(p[:, 0] > 0.5)], ["doc_id", "expected_grade", *names, "selected"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.round(p.sum(axis=1), 6)), *[pa.array(np.round(c, 6)) for c in p.T], pa.array(p[:, -1] > 0.5)], ["doc_id", "expected_grade", *names, "selected"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, expected_grade double, " + ", ".join(f"{n} double" for n in names) + ", selected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, expected_grade double, " + ", ".join(f"{n} double" for n in names) + ", selected boolean")

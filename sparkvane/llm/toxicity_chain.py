@@ -6,9 +6,10 @@ that a later model learns how reliable the earlier ones are on unseen texts; whe
 the sample. The labelled tables have two categories: ``low_quality`` (graded 0 for quality) and ``toxic``; others are
 added by passing their columns.
 
-Nulls and edge cases: a null or empty text gets the probabilities of a text without features; null labels are left
-out; without labels
-every probability is near 0 and nothing is rejected. Every row is scored, repeated ones alike.
+Nulls and edge cases: a null or empty text gets the probabilities of a text without features; very long texts are scored whole; null labels are left
+out; without labels, or with fewer than ``linear.LEAST_CLASS`` rows of a class, that class is not learnt: without any
+every probability is near 0 and nothing is rejected. Every row is scored, repeated ones and ties alike; ids may be null, repeated or of any type; of several labels for an
+id the least counts. Extra columns are kept by ``drop_toxic`` and else ignored, whatever their names; an empty table gives no rows.
 The decision is by the last category.
 """
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import id_type
 from .linear import SAMPLE_ROWS, features, fit_logistic, sample, sigmoid, sums, take
 from .textops import text_buffers
 
@@ -82,7 +84,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             p = shared.value.probabilities(*features(*text_buffers(batch.column("text"))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.round(c, 6)) for c in p.T], pa.array(p[:, -1] > threshold)], ["doc_id", *names, "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{n} double" for n in names) + ", rejected boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type(docs)}, " + ", ".join(f"{n} double" for n in names) + ", rejected boolean")
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
