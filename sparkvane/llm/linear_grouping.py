@@ -1,11 +1,12 @@
-"""Best-fit packing of documents into sequences of ``CAPACITY`` words, by the linear grouping scheme.
+"""Best-fit packing of documents into sequences of ``CAPACITY`` tokens, by the linear grouping scheme.
 
-The plan is made on the histogram of lengths, which has at most ``CAPACITY`` entries however many documents there are;
-documents are then matched to it by (length, rank), so nothing but the histogram and the plan reaches the driver.
+Lengths are token counts under a public vocabulary (``trie_unigram``). The plan is made on the histogram of lengths, which has at most ``CAPACITY``
+entries however many documents there are; documents are then matched to it by (length, rank), so nothing but the histogram and the plan reaches the driver.
 
-1. A document longer than a sequence is cut into full sequences and a rest; the rest is packed like any document.
-2. Pieces above ``SMALL`` x capacity are large. Sorted by length they are cut into ``GROUPS`` groups of equal cardinality, and
-   all lengths of a group are rounded up to its greatest.
+1. A document longer than a sequence is cut before a word (or, within a word of more tokens than a sequence, after a token) into pieces that fill a sequence
+   as far as they can, and a rest. Pieces are slices of the text that leave nothing out: put together again they are the document, byte by byte.
+2. Pieces above ``SMALL`` x capacity are large. Sorted by length they are cut into ``GROUPS`` groups of equal cardinality (or twice or four times as many, whichever
+   plan needs the fewest sequences), and all lengths of a group are rounded up to its greatest.
 3. Packing the few rounded sizes is a configuration problem: configurations (how many of each size fit in a sequence) are
    generated by column generation on its linear relaxation (multiplicative weights price the sizes, a knapsack finds the best
    configuration); the rounded-down solution is kept and what is left over is packed by first-fit over configurations.
@@ -13,25 +14,32 @@ documents are then matched to it by (length, rank), so nothing but the histogram
 5. Small pieces, longest first, go to the fullest sequence that still holds them (best fit); a new sequence is opened only when
    none does.
 
-Sequences with the same content by length are handled as one run, so every step works on counts.
+Sequences with the same content by length are handled as one run, so every step works on counts. The texts are shuffled twice: to meet
+their places, and to their sequences, which hold a bounded number of tokens.
 
-Nulls and edge cases: a null or wordless text has no pieces and no row; rows equal in id and text are separate
-documents here (each must be packed); a null doc_id stays null. Extra columns are ignored.
+Nulls and edge cases: a null or wordless text has no pieces and is in no sequence; rows equal in id and text are separate
+documents here (each is packed); a null doc_id stays null and ids may be of any type. Which of several pieces of one length takes which place is decided by hash. Very long texts are cut, never shortened.
+Extra columns are ignored, whatever their names. An empty table gives no sequences.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASH, KEY, checkpoint, keyed, unkey
+from .common import HASH, KEY, checkpoint, id_type, identified
+from .textops import text_buffers
+from .trie_unigram import Vocabulary, counted, load_vocabulary, token_ends
 
 CAPACITY, SMALL, GROUPS = 2048, 0.125, 24
-SALTS = 64
+#: Salts at least, and rows of a window about.
+SALTS, WINDOW_ROWS = 64, 1 << 20
 
 Run = tuple[int, int]  # first sequence, number of sequences
 
@@ -120,7 +128,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
 
 
 class Packing:
-    """The plan: ``rows`` of (length, first rank, last rank + 1, first sequence); rank r of a length goes to first sequence + r - first rank."""
+    """The plan: ``rows`` of (length, first rank, last rank + 1, first sequence, pieces a sequence); rank r of a length goes to first sequence + (r - first rank) // pieces."""
 
     def __init__(self, counts: dict[int, int], capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS) -> None:
         self.capacity, self.rows, self.sequences = capacity, [], 0
@@ -139,8 +147,8 @@ class Packing:
         first, self.sequences = self.sequences, self.sequences + n
         return first
 
-    def _place(self, length: int, n: int, first: int) -> None:
-        self.rows.append((length, self._rank[length], self._rank[length] + n, first))
+    def _place(self, length: int, n: int, first: int, per: int = 1) -> None:
+        self.rows.append((length, self._rank[length], self._rank[length] + n, first, per))
         self._rank[length] += n
 
     def _gap(self, gap: int, first: int, n: int) -> None:
@@ -185,62 +193,108 @@ class Packing:
             first, m = self._gaps[gap].pop()
             if not self._gaps[gap]:
                 self._sizes.pop(at)
-            take = min(n, m)
-            self._place(length, take, first)
-            if m > take:
-                self._gap(gap, first + take, m - take)
-            self._gap(gap - length, first, take)
+            per = gap // length  # after its first piece a sequence is the fullest one: it is filled before the next of the run
+            take = min(n, m * per)
+            self._place(length, take, first, per)
+            full, rest = divmod(take, per)
+            self._gap(gap - per * length, first, full)
+            if rest:
+                self._gap(gap - rest * length, first + full, 1)
+            self._gap(gap, first + full + (rest > 0), m - full - (rest > 0))
             n -= take
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """(key, text hash, n_words) of each document that has a word."""
-    words = F.regexp_count("text", F.lit(r"\S+")).cast("long")
-    return keyed(docs.select("doc_id", "text")).select(KEY, HASH, words.alias("n_words")).where("n_words > 0")
+def best_plan(counts: dict[int, int], capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS) -> Packing:
+    """The plan of fewest sequences among those with ``groups`` groups, twice and four times as many: finer groups round less, but leave more remainders."""
+    return min((Packing(counts, capacity, small, groups * k) for k in (1, 2, 4)), key=lambda p: p.sequences)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS) -> DataFrame:
-    """(doc_id, piece, first_word, n_words, sequence): where each piece of each document goes.
+def cuts(counts: np.ndarray, ends: np.ndarray, capacity: int) -> list[tuple[int, int]]:
+    """(end in bytes, tokens) of the pieces of a text given as units of at most ``capacity`` tokens, with the byte that each ends before."""
+    total = np.concatenate([[0], np.cumsum(counts)])
+    out, at = [], 0
+    while at < len(counts):
+        to = int(np.searchsorted(total, total[at] + capacity, "right")) - 1
+        out.append((int(ends[to - 1]), int(total[to] - total[at])))
+        at = to
+    return out
+
+
+def _units(raw: np.ndarray, start: np.ndarray, end: np.ndarray, counts: np.ndarray, capacity: int, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """A long text's units: words with the space after them; of words of more tokens than a sequence, runs of tokens that end with a character."""
+    ends = np.append(start[1:], len(raw))
+    parts_n, parts_end, done = [], [], 0
+    for k in np.flatnonzero(counts > capacity).tolist():
+        parts_n.append(counts[done:k])
+        parts_end.append(ends[done:k])
+        word = raw[start[k] : end[k]]
+        at = token_ends(word.tobytes(), vocabulary)
+        whole = np.flatnonzero(np.append((word[at[:-1]] & 0xC0) != 0x80, True))  # the next byte begins a character
+        parts_n.append(np.diff(np.concatenate([[-1], whole])))
+        parts_end.append(np.append(at[whole[:-1]] + start[k], ends[k]))
+        done = k + 1
+    parts_n.append(counts[done:])
+    parts_end.append(ends[done:])
+    return np.concatenate(parts_n), np.concatenate(parts_end)
+
+
+def pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY) -> DataFrame:
+    """(identity, piece, from_byte, n_bytes, n_tokens) of each piece of each row that has a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    Pieces of a document are numbered from 0; ``first_word`` is the piece's first word within the document.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column("text"))
+            for i, j, t, counts in counted(data, offs, shared.value):
+                total = np.bincount(t.doc, weights=counts, minlength=j - i).astype(np.int64)
+                fits = np.flatnonzero((total > 0) & (total <= capacity))
+                rows = [np.stack([fits + i, 0 * fits, 0 * fits, np.diff(offs)[fits + i], total[fits]])]
+                for d in np.flatnonzero(total > capacity):
+                    part, base = slice(t.first[d], t.first[d + 1]), int(offs[i + d] - offs[i])
+                    units = _units(data[offs[i + d] : offs[i + d + 1]], t.start[part] - base, t.end[part] - base, counts[part], capacity, shared.value)
+                    at = 0
+                    for k, (end, n) in enumerate(cuts(*units, capacity)):
+                        rows.append(np.array([[i + d], [k], [at], [end - at], [n]]))
+                        at = end
+                r = np.concatenate(rows, axis=1)
+                at = pa.array(r[0])
+                yield pa.RecordBatch.from_arrays([batch.column(KEY).take(at), batch.column(HASH).take(at), *map(pa.array, r[1:])], [KEY, HASH, "piece", "from_byte", "n_bytes", "n_tokens"])
+
+    return identified(docs).mapInArrow(run, f"{KEY} long, {HASH} long, piece long, from_byte long, n_bytes long, n_tokens long")
+
+
+def placements(docs: DataFrame, vocabulary: Vocabulary, capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS, window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """The pieces with the sequence that each goes to."""
     spark = docs.sparkSession
-    p = checkpoint(pieces(docs))
-    whole = F.floor(F.col("n_words") / capacity).cast("long")
-    rest = F.col("n_words") % capacity
-    salt = F.pmod(F.xxhash64(KEY, HASH), F.lit(SALTS))
-    # Full pieces are numbered by running sums, rests by rank within their length. Both are cut by salt and shifted by what comes
-    # before: the salts before within Spark, the lengths before from the histogram, which is all that the driver sees.
-    rests = p.select(KEY, HASH, "n_words", rest.alias("length"), whole.alias("whole"), salt.alias("salt"))
-    counts = rests.groupBy("length", "salt").agg(F.count("*").alias("n"), F.sum("whole").alias("full"))
-    histogram = counts.groupBy("length").agg(F.sum("n").alias("n"), F.sum("full").alias("full")).orderBy("length").collect()
-    by_length = {r["length"]: r["n"] for r in histogram if r["length"]}
-    full_before, full_seen = [], 0
-    for r in histogram:
-        full_before.append((r["length"], full_seen))
-        full_seen += r["full"]
-    plan = Packing({**by_length, capacity: full_seen}, capacity, small, groups)
-    # The histogram has at most `capacity` rows, the plan is of its size: both are bounded by a parameter.
-    start = spark.createDataFrame(full_before or [(0, 0)], "length long, start long")
-    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.withColumns({"before": F.coalesce(F.sum("n").over(earlier), F.lit(0)), "full_inner": F.coalesce(F.sum("full").over(earlier), F.lit(0))})
-    shift = shift.join(F.broadcast(start), "length").select("length", "salt", "before", (F.col("start") + F.col("full_inner")).alias("full_before"))
-    within = Window.partitionBy("length", "salt").orderBy(KEY, HASH, "n_words")
-    ranked = rests.join(shift, ["length", "salt"]).withColumns({"rank": F.col("before") + F.row_number().over(within) - 1, "full_rank": F.col("full_before") + F.sum("whole").over(within.rowsBetween(Window.unboundedPreceding, -1))})
-    ranked = ranked.withColumn("full_rank", F.coalesce("full_rank", "full_before"))
+    p = checkpoint(pieces(docs, vocabulary, capacity))
+    histogram = {r["n_tokens"]: r["n"] for r in p.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    plan = best_plan(histogram, capacity, small, groups)
+    # The histogram has at most `capacity` rows, the plan is of its size: both are bounded by a parameter. Ranks within a length are cut by
+    # salts, whose number grows with the data, and shifted by the salts before.
+    salts = max(SALTS, -(-sum(histogram.values()) // window_rows))
+    p = p.withColumn("salt", F.pmod(F.xxhash64(KEY, HASH, "piece"), F.lit(salts)))
+    earlier = Window.partitionBy("n_tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shift = p.groupBy("n_tokens", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    within = Window.partitionBy("n_tokens", "salt").orderBy(KEY, HASH, "piece")
+    ranked = p.join(shift, ["n_tokens", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
     table = defaultdict(list)
-    for length, a, b, first in plan.rows:
-        table[length].append((a, b, first))
-    lookup = spark.createDataFrame([(k, sorted(v)) for k, v in table.items()] or [(0, [])], "length long, runs array<struct<a: long, b: long, first: long>>")
-    lookup = lookup.select("length", F.col("runs.a").alias("ends"), "runs")
-
-    def place(runs: F.Column, rank: F.Column) -> F.Column:
-        hit = F.filter(runs, lambda x: (x["a"] <= rank) & (rank < x["b"]))[0]
-        return hit["first"] + rank - hit["a"]
-
-    full_runs = F.broadcast(lookup.where(F.col("length") == capacity).select(F.col("runs").alias("full_runs")))
-    full = ranked.where("whole > 0").select(KEY, "full_rank", "whole", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("piece")).crossJoin(full_runs)
-    full = full.select(KEY, "piece", (F.col("piece") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"), place(F.col("full_runs"), F.col("full_rank") + F.col("piece")).alias("sequence"))
-    tail = ranked.where("length > 0").join(F.broadcast(lookup.select("length", "runs")), "length")
-    tail = tail.select(KEY, F.col("whole").alias("piece"), (F.col("whole") * capacity).alias("first_word"), F.col("length").alias("n_words"), place(F.col("runs"), F.col("rank")).alias("sequence"))
-    return full.union(tail).select(unkey(), F.col("piece").cast("int").alias("piece"), "first_word", "n_words", "sequence")
+    for length, *run in plan.rows:
+        table[length].append(tuple(run))
+    lookup = spark.createDataFrame([(k, sorted(v)) for k, v in table.items()] or [(0, [])], "n_tokens long, runs array<struct<a: long, b: long, first: long, per: long>>")
+    hit = F.filter("runs", lambda x: (x["a"] <= F.col("rank")) & (F.col("rank") < x["b"]))[0]
+    ranked = ranked.join(F.broadcast(lookup), "n_tokens").withColumn("run", hit)
+    sequence = F.expr("run.first + (rank - run.a) div run.per")
+    return ranked.select(KEY, HASH, "piece", "from_byte", "n_bytes", "n_tokens", sequence.alias("sequence"))
+
+
+def pack(docs: DataFrame, vocabulary: Vocabulary | None = None, capacity: int = CAPACITY, small: float = SMALL, groups: int = GROUPS) -> DataFrame:
+    """(sequence, n_tokens, doc_ids, pieces): a row for each sequence; a piece has its document's id, its number within the document, tokens and text."""
+    placed = checkpoint(placements(docs, vocabulary or load_vocabulary(), capacity, small, groups))
+    by = [KEY, HASH]
+    texts = identified(docs)
+    if placed.where("piece = 0").groupBy(*by).count().where("count > 1").limit(1).count():
+        texts = texts.dropDuplicates(by)  # the places of all rows of a document are with its one text
+    part = F.expr("cast(substring(cast(text as binary), cast(from_byte + 1 as int), cast(n_bytes as int)) as string)")
+    met = texts.join(placed, by).select("sequence", F.struct("doc_id", "piece", "n_tokens", part.alias("text")).alias("p"))
+    rows = met.groupBy("sequence").agg(F.sort_array(F.collect_list("p")).alias("pieces"))
+    return rows.select("sequence", F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + x["n_tokens"]).alias("n_tokens"), F.col("pieces.doc_id").alias("doc_ids"), "pieces")
