@@ -5,14 +5,15 @@ the window's hash. For each (document, item) pair with enough seeded words, tili
 unmarked words of both texts (running Karp-Rabin: match lengths are tried from long to short on window hashes), never
 overlapping, until none of ``SEED`` words is left. The share of the item's words under tiles is its coverage; order
 doesn't count, so passages that were cut up and reordered are caught. A document is contaminated by an item when the
-coverage is at least ``COVERAGE``.
+coverage is at least ``COVERAGE``. A pair is a candidate unless its seeds, at all their places in the item, can't cover that much.
 
 The test set is the small side. Its seeds are broadcast if they are at most ``BROADCAST_SEEDS``; otherwise seeds of both sides are
-shuffled and joined, which gives the same pairs.
+shuffled and joined, which gives the same pairs. A Bloom filter of the items' seeds, of a fixed size, then keeps most windows of the documents out of the shuffle.
 
 Nulls and edge cases: null or empty texts match nothing; an item of fewer than ``SEED`` words is matched by its whole
-length if it has at least ``MIN_ITEM`` words and is ignored below; equal items are each reported; rows equal in id and text
-are one document; a null doc_id or item_id is an id of its own; extra columns are kept or ignored.
+length if it has at least ``MIN_ITEM`` words and is ignored below; equal items are each reported, rows equal in item id and text once; rows equal in id and text
+are one document in the report and are all dropped; a null doc_id or item_id is an id of its own, and ids may be of any type. Of equally long tiles the leftmost in the item, then in the document, comes first.
+Very long texts are tiled whole. An empty table on either side gives no contamination. Extra columns are kept by ``drop_contaminated``, whatever their names, and else ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import HASH, KEY, keyed, unkey
-from .textops import U64, signed, text_buffers, tokens_of, window_hashes
+from .common import HASH, KEY, checkpoint, id_type, identified, marked, small
+from .textops import U64, signed, text_buffers, token_hashes, tokens_of, window_hashes
 
 SEED, MIN_ITEM, COVERAGE = 5, 3, 0.5
 BROADCAST_SEEDS = 2_000_000
@@ -155,86 +157,137 @@ def _judge_batch(batch: pa.RecordBatch, items: Items, threshold: float) -> Itera
 
 def _small(benchmark: DataFrame, broadcast_seeds: int) -> Items | None:
     """The test set, if its seeds may be broadcast: an item has at most one seed for two characters."""
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size // 2 > broadcast_seeds:
+    size = benchmark.agg(F.sum(F.length("text")), F.count("*")).first()
+    if (size[0] or 0) // 2 + size[1] > broadcast_seeds:
         return None
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").orderBy("item_id", "text").collect()
+    rows = benchmark.select("item_id", "text").distinct().collect()
+    rows.sort(key=lambda r: (r[0] is not None, str(r[0]), r[1] or ""))
     return Items([r[0] for r in rows], [r[1] for r in rows])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(key, text hash, item_id, coverage, n_tiles) of every document and item at or above the threshold."""
+def _checked(threshold: float) -> None:
     if threshold < COVERAGE:
         raise ValueError(f"threshold must be at least {COVERAGE}: candidates are chosen for that")
-    source = keyed(docs.select("doc_id", "text")).select(KEY, HASH, "text")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, identity, item_id, coverage, n_tiles) of every document and item at or above the threshold."""
+    _checked(threshold)
+    source = identified(docs)
     items = _small(benchmark, broadcast_seeds)
     if items is None:
         return _contaminated_by_join(source, benchmark, threshold)
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    out = pa.schema([(KEY, pa.int64()), (HASH, pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32())])
+    own, item_type = id_type(docs), id_type(benchmark, "item_id")
+    item_kind = to_arrow_type(benchmark.schema["item_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hashes = batch.column(KEY).to_numpy(), batch.column(HASH).to_numpy()
-            rows = [(keys[r], hashes[r], shared.value.ids[k], c, n) for r, k, c, n in _judge_batch(batch, shared.value, threshold)]
+            rows = list(_judge_batch(batch, shared.value, threshold))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                at, item, coverage, n = zip(*rows, strict=True)
+                names = pa.array([shared.value.ids[k] for k in item], item_kind)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(at)) for c in ("doc_id", KEY, HASH)], names, pa.array(coverage), pa.array(n, pa.int32())], ["doc_id", KEY, HASH, "item_id", "coverage", "n_tiles"])
+
+    return source.mapInArrow(run, f"doc_id {own}, {KEY} long, {HASH} long, item_id {item_type}, coverage double, n_tiles int").distinct()
+
+
+#: Groups of the Bloom filter's bits, and bits of each: 16 MB in all, whatever the test set's size.
+BLOOM_GROUPS, BLOOM_BITS = 2048, 1 << 16
+
 
-    return source.mapInArrow(run, f"{KEY} long, {HASH} long, item_id long, coverage double, n_tiles int").distinct()
+def _bloom(seeds: DataFrame) -> np.ndarray:
+    """Two bits a seed, as groups x bytes: put together by group on the executors, of a size that is a parameter."""
+
+    def bits(table: pa.Table) -> pa.Table:
+        h = table.column("seed").to_numpy().view(U64)
+        out = np.zeros(BLOOM_BITS, bool)
+        for k in (16, 32):
+            out[((h >> U64(k)) & U64(BLOOM_BITS - 1)).astype(np.int64)] = True
+        return pa.table({"g": pa.array([int(h[0] % U64(BLOOM_GROUPS))], pa.int32()), "b": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    group = F.expr(f"int(pmod(seed, {BLOOM_GROUPS}))")  # a power of two: as for the unsigned value
+    filled = np.zeros((BLOOM_GROUPS, BLOOM_BITS // 8), np.uint8)
+    for r in seeds.select("seed").distinct().groupBy(group).applyInArrow(bits, "g int, b binary").collect():
+        filled[r["g"]] = np.frombuffer(r["b"], np.uint8)
+    return filled
+
+
+def _may_hold(bloom: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Which of the seeds may be in the filter."""
+    h = w.view(U64)
+    g, ok = (h % U64(BLOOM_GROUPS)).astype(np.int64), np.ones(len(h), bool)
+    for k in (16, 32):
+        bit = ((h >> U64(k)) & U64(BLOOM_BITS - 1)).astype(np.int64)
+        ok &= (bloom[g, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+    return ok
 
 
 def _contaminated_by_join(source: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
     """The same for a test set of any size: seeds of both sides meet in a shuffled join, pairs with enough seeds fetch both texts."""
+    items = benchmark.select("item_id", "text").distinct().select(F.xxhash64(F.col("item_id").isNull(), F.col("item_id").cast("string"), F.col("text").isNull(), "text").alias("item"), "item_id", F.col("text").alias("item_text"))
 
-    def seeds_of(key_columns: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offs = text_buffers(batch.column("text"))
-                for i, j, t in tokens_of(data, offs, fold=True):
-                    for d in range(j - i):
-                        h = t.hash[t.first[d] : t.first[d + 1]]
-                        is_item = key_columns[0] != KEY
-                        widths = [min(SEED, len(h))] if is_item else list(range(MIN_ITEM, SEED + 1))
-                        for width in widths if len(h) >= MIN_ITEM else []:
-                            w, times = np.unique(signed(window_hashes(h, width)), return_counts=True)
-                            yield pa.RecordBatch.from_arrays([pa.array(w), *(pa.array([batch.column(k)[i + d].as_py()] * len(w), batch.schema.field(k).type) for k in key_columns), pa.array(np.full(len(w), len(h), np.int32)), pa.array(times.astype(np.int32))], ["seed", *key_columns, "n", "times"])
-
-        return run
-
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-(1 << 63))).alias("item"), F.col("text"))
-    items = items.withColumn("item_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    item_seeds = items.select("item", "item_hash", "text").mapInArrow(seeds_of(["item", "item_hash"]), "seed long, item long, item_hash long, n int, times int")
-    doc_seeds = source.mapInArrow(seeds_of([KEY, HASH]), f"seed long, {KEY} long, {HASH} long, n int, times int").drop("n", "times")
-    met = doc_seeds.join(item_seeds, "seed").groupBy(KEY, HASH, "item", "item_hash", "seed").agg(F.first("times").alias("times"), F.first("n").alias("n"))
-    pairs = met.groupBy(KEY, HASH, "item", "item_hash").agg(F.sum("times").alias("m"), F.first("n").alias("n")).where(F.col("m") >= F.col("n") * COVERAGE / SEED)
-    both = pairs.join(source.dropDuplicates([KEY, HASH]), [KEY, HASH]).join(items.withColumnRenamed("text", "item_text").distinct(), ["item", "item_hash"])
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column("item_text"))
+            for i, j, t in tokens_of(data, offs, fold=True):
+                for d in range(j - i):
+                    h = t.hash[t.first[d] : t.first[d + 1]]
+                    if len(h) >= MIN_ITEM:
+                        width = min(SEED, len(h))
+                        w, times = np.unique(signed(window_hashes(h, width)), return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(w), batch.column("item").take(pa.array(np.full(len(w), i + d))), pa.array(np.full(len(w), len(h), np.int32)), pa.array(np.full(len(w), width, np.int32)), pa.array(times.astype(np.int32))], ["seed", "item", "n", "width", "times"])
+
+    item_seeds = checkpoint(items.select("item", "item_text").mapInArrow(of_items, "seed long, item long, n int, width int, times int"))
+    widths = sorted(r[0] for r in item_seeds.select("width").distinct().collect())
+    bloom = source.sparkSession.sparkContext.broadcast(_bloom(item_seeds))
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = text_buffers(batch.column("text"))
+            for i, _, t in tokens_of(data, offs, fold=True):
+                for width in widths:
+                    w = signed(window_hashes(t.hash, width))
+                    at = np.flatnonzero((t.doc[: len(w)] == t.doc[width - 1 :]) & _may_hold(bloom.value, w)) if len(w) else np.zeros(0, np.int64)
+                    if len(at):
+                        pair = np.unique(np.stack([t.doc[at], w[at]], axis=1), axis=0)
+                        row = pa.array(pair[:, 0] + i)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 1]), batch.column(KEY).take(row), batch.column(HASH).take(row)], ["seed", KEY, HASH])
+
+    doc_seeds = source.mapInArrow(of_docs, f"seed long, {KEY} long, {HASH} long")
+    met = doc_seeds.join(item_seeds, "seed").groupBy(KEY, HASH, "item", "seed").agg(F.first("times").alias("times"), F.first("n").alias("n"))
+    pairs = met.groupBy(KEY, HASH, "item").agg(F.sum("times").alias("m"), F.first("n").alias("n")).where(F.col("m") >= F.col("n") * COVERAGE / SEED)
+    both = pairs.select(KEY, HASH, "item").join(source.dropDuplicates([KEY, HASH]), [KEY, HASH]).join(items, "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                items = Items([row["item"]], [row["item_text"]])
-                data, offs = text_buffers(pa.array([row["text"]], pa.large_string()))
-                h = next(tokens_of(data, offs, fold=True))[2].hash
+            keep, facts = [], []
+            for k in range(len(batch)):
+                items = Items([0], [batch.column("item_text")[k].as_py()])
+                h = token_hashes(batch.column("text")[k].as_py())
                 for _, coverage, n in _judge(h, items.hits(h, np.zeros(len(h), np.int64))[1], items, threshold):
-                    yield pa.RecordBatch.from_pylist([{KEY: row[KEY], HASH: row[HASH], "item_id": row["item"], "coverage": coverage, "n_tiles": n}], schema=pa.schema([(KEY, pa.int64()), (HASH, pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32())]))
+                    keep.append(k)
+                    facts.append((coverage, n))
+            if keep:
+                rows = batch.select(["doc_id", KEY, HASH, "item_id"]).take(pa.array(keep))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([f[0] for f in facts]), pa.array([f[1] for f in facts], pa.int32())], [*rows.schema.names, "coverage", "n_tiles"])
 
-    out = both.select(KEY, HASH, "item", "text", "item_text").mapInArrow(run, f"{KEY} long, {HASH} long, item_id long, coverage double, n_tiles int")
-    return out.withColumn("item_id", F.when(F.col("item_id") != F.lit(-(1 << 63)), F.col("item_id"))).distinct()
+    out = both.select("doc_id", KEY, HASH, "item_id", "text", "item_text")
+    return out.mapInArrow(run, f"doc_id {id_type(out)}, {KEY} long, {HASH} long, item_id {id_type(out, 'item_id')}, coverage double, n_tiles int")
 
 
-def contamination_report(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE) -> DataFrame:
+def contamination_report(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles) of every contaminated document."""
-    return contaminated(docs, benchmark, threshold).select(unkey(), "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles")
+    return contaminated(docs, benchmark, threshold, broadcast_seeds).select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """``docs`` without the contaminated documents. With a test set that may be broadcast nothing is shuffled."""
-    if threshold < COVERAGE:
-        raise ValueError(f"threshold must be at least {COVERAGE}: candidates are chosen for that")
+    _checked(threshold)
     items = _small(benchmark, broadcast_seeds)
     if items is None:
-        bad = contaminated(docs, benchmark, threshold, broadcast_seeds).select(KEY, HASH).distinct()
-        return keyed(docs).join(bad, [KEY, HASH], "left_anti").select(*docs.columns)
+        bad = checkpoint(contaminated(docs, benchmark, threshold, broadcast_seeds).select(KEY, HASH).distinct())
+        return marked(docs).join(small(bad), [KEY, HASH], "left_anti").select("row.*")
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
