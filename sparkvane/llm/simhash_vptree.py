@@ -3,19 +3,25 @@
 A document's features are its distinct folded words and distinct neighbouring word pairs; a fingerprint has 256
 sign bits of their hashed sum, kept as four words of 64. Two documents are near copies when
 
-* the Hamming distance of the first word is at most ``R64`` and of the whole fingerprint at most ``R256``, and
+* the Hamming distance of the whole fingerprint is at most ``R256`` and of the first word at most ``R64`` (a quick test: at the
+  full distance 0.6 % of pairs fail it, at a distance of 50 fewer than 1 in 1,000), and
 * their word counts differ by at most ``LEN_LEVELS`` steps of 1/16 octave (thermometer-coded, so that this too is a
   Hamming distance).
 
-The search is exact for that definition. Documents with equal fingerprint and length collapse first. A tree whose
+The search is exact for that definition. Documents with equal fingerprint and length form a class first. A tree whose
 inner nodes are vantage points (a fingerprint, or the empty document for the thermometer part) is built from a bounded
-sample; each node splits at the median distance. Every fingerprint has one home leaf and visits, as a query, the leaves
+sample; each node splits at the median distance. Every class has one home leaf and visits, as a query, the leaves
 that the triangle bound can't exclude (distance within the radius of the split). A leaf compares home x (home + visitors); if the sample
 tells of more than ``VISITORS`` visitors, these are dealt over copies of the leaf, so that memory stays bounded.
-Of all vantage points tried for a node the one with the least overlap is taken.
+Of all vantage points tried for a node the one with the least overlap is taken. All links of a class are found, and counted, at its home;
+links are folded to a forest block by block, so a leaf never holds all its pairs.
 
-Nulls and edge cases: a null or wordless text has no fingerprint and no group; rows equal in id and text are one
-document; a null doc_id is an id of its own; extra columns are ignored. An empty table gives an empty result.
+The result has one row a document with its class and the class's number of links to other classes; copies aren't expanded into pairs.
+
+Nulls and edge cases: a null or wordless text has no fingerprint and no group, and such rows all stay; other rows equal in id and text are one
+document; of those that differ in other columns any one is kept; a null doc_id is an id of its own, before all others, ids may be of any sortable type; a group is named by
+its least id, ties by hash of the text. Very long texts are fingerprinted whole. Extra columns are kept by ``drop_near_duplicates``, whatever their names, and else
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASH, KEY, checkpoint, components, keyed, unkey
+from .common import HASH, KEY, checkpoint, components, hashed_sample, id_type, identified, marked, small
 from .textops import U64, combine, mix, signed, text_buffers, tokens_of
 
-R64, R256, LEN_LEVELS = 18, 60, 8
-#: Rows that have their home in a leaf, and visitors of a leaf that are compared at a time, about.
+R64, R256, LEN_LEVELS = 22, 60, 8
+#: Classes that have their home in a leaf, and visitors of a leaf that are compared at a time, about.
 LEAF_ROWS, VISITORS = 65_536, 524_288
+#: Leaves at least, so that all cores have work, as long as each has ``LEAST_ROWS`` classes.
+LEAVES, LEAST_ROWS = 24, 2_048
+#: Links that are kept before they are folded to a forest.
+LINKS = 2_000_000
 SAMPLE_ROWS = 16_384
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.float32)
 
@@ -140,9 +150,8 @@ class Tree:
             stack.append((b, rows[to_b], home[to_b] & (d[to_b] > mu)))
 
 
-def close_pairs(fp: np.ndarray, level: np.ndarray, home: np.ndarray, r64: int, r256: int, r_len: int, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs (home row, row) within the radii; rows must be sorted by level."""
-    left, right = [], []
+def close_pairs(fp: np.ndarray, level: np.ndarray, home: np.ndarray, r64: int, r256: int, r_len: int, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs (home row, row) within the radii, block by block; of two home rows the first comes first. Rows must be sorted by level."""
     first = np.ascontiguousarray(fp[:, 0])
     homes = np.flatnonzero(home)
     for s in range(0, len(homes), block):
@@ -157,10 +166,7 @@ def close_pairs(fp: np.ndarray, level: np.ndarray, home: np.ndarray, r64: int, r
             i, j = i[ok], j[ok]
             if len(i):
                 ok = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= r256
-                left.append(i[ok])
-                right.append(j[ok])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+                yield i[ok], j[ok]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,28 +191,26 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
-    """(key, text hash, f0..f3, n_words) of each document that has a word."""
-    names = [KEY, HASH]
+    """(doc_id, identity, f0..f3, n_words) of each row that has a word."""
+    names = ["doc_id", KEY, HASH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offs = text_buffers(batch.column("text"))
-            fp, words = fingerprints(data, offs)
+            fp, words = fingerprints(*text_buffers(batch.column("text")))
             out = [batch.column(k) for k in names] + [pa.array(signed(np.ascontiguousarray(fp[:, w]))) for w in range(4)] + [pa.array(words)]
             yield pa.RecordBatch.from_arrays(out, [*names, "f0", "f1", "f2", "f3", "n_words"]).filter(pa.array(words > 0))
 
-    schema = f"{KEY} long, {HASH} long, f0 long, f1 long, f2 long, f3 long, n_words long"
-    return keyed(docs.select("doc_id", "text")).select(*names, "text").mapInArrow(run, schema)
+    return identified(docs).mapInArrow(run, f"doc_id {id_type(docs)}, {KEY} long, {HASH} long, f0 long, f1 long, f2 long, f3 long, n_words long")
 
 
-def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_len: int = LEN_LEVELS, leaf_rows: int = LEAF_ROWS, visitors: int = VISITORS) -> DataFrame:
-    """(key, text hash, group key, group hash) of every document in a group of two or more; the group is named by its least (id, text hash)."""
-    node = F.xxhash64("f0", "f1", "f2", "f3", "n_words")
-    fps = checkpoint(fingerprint_table(docs).distinct().withColumn("node", node))
-    nodes = fps.select("node", "f0", "f1", "f2", "f3", "n_words").distinct()
-    total = fps.count()
-    want = -(-total // leaf_rows)
-    sample = fps.select("f0", "n_words").orderBy(F.xxhash64("node"), "n_words").limit(SAMPLE_ROWS).toPandas() if want > 1 else None
+def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_len: int = LEN_LEVELS, leaf_rows: int = LEAF_ROWS, visitors: int = VISITORS, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """Every document of a group of two or more, or that has several rows: (doc_id, identity, class_id, n_rows, n_links, n_docs, first: doc_id and identity of the group's first document)."""
+    of_class = ["f0", "f1", "f2", "f3", "n_words"]
+    fps = checkpoint(fingerprint_table(docs).groupBy("doc_id", KEY, HASH, *of_class).agg(F.count("*").alias("n_rows")).withColumn("node", F.xxhash64(*of_class)))
+    nodes = checkpoint(fps.select("node", *of_class).distinct())
+    total = nodes.count()
+    want = max(-(-total // leaf_rows), min(LEAVES, total // least_rows), 1)
+    sample = hashed_sample(nodes.select("node", "f0", "n_words"), SAMPLE_ROWS, "node").orderBy("node").toPandas() if want > 1 else None
     if sample is None:
         tree = Tree(np.zeros(0, U64), np.zeros(0, np.int64), 1, r64, r_len)
     else:
@@ -231,33 +235,71 @@ def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_l
                 part = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf, np.int32)), pa.array(copy.astype(np.int32)), pa.array(home), *part.columns], ["leaf", "copy", "home", *part.schema.names])
 
+    out = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
+
     def compare(table: pa.Table) -> pa.Table:
+        """A link of each class to its tree's root in this leaf, and how many links each class at home has here."""
         level = length_level(table.column("n_words").to_numpy())
         order = np.argsort(level, kind="stable")
         ids = table.column("node").to_numpy()[order]
         fp = np.stack([table.column(f"f{w}").to_numpy().view(U64)[order] for w in range(4)], axis=1)
         home = table.column("home").to_numpy(zero_copy_only=False)[order]
-        a, b = close_pairs(fp, level[order], home, r64, r256, r_len)
-        root = _forest(len(ids), a, b)
-        moved = np.flatnonzero(root != np.arange(len(ids)))
-        return pa.table({"a": ids[root[moved]], "b": ids[moved]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        n, both = len(ids), int(table.column("copy")[0].as_py()) == 0  # two rows at home meet in every copy, and count in the first
+        root, links, kept, size = np.arange(n), np.zeros(n, np.int64), [], 0
+        for a, b in close_pairs(fp, level[order], home, r64, r256, r_len):
+            inner = home[b]
+            links += np.bincount(a[~inner] if not both else a, minlength=n)
+            if both:
+                links += np.bincount(b[inner], minlength=n)
+            kept.append((a, b))
+            size += len(a)
+            if size > LINKS:
+                root, kept, size = _folded(n, root, kept), [], 0
+        root = _folded(n, root, kept)
+        some = np.flatnonzero((root != np.arange(n)) | (links > 0))
+        return pa.table([ids[some], ids[root[some]], links[some]], schema=out)
 
     routed = nodes.mapInArrow(route, "leaf int, copy int, home boolean, node long, f0 long, f1 long, f2 long, f3 long, n_words long")
-    edges = routed.groupBy("leaf", "copy").applyInArrow(compare, "a long, b long")
-    roots = components(edges)
-    member = fps.join(roots, "node", "left").select(KEY, HASH, F.coalesce("root", "node").alias("root"))
-    group = member.groupBy("root").agg(F.min(F.struct(KEY, HASH)).alias("first"), F.count("*").alias("n_docs")).where("n_docs > 1")
-    return member.join(group, "root").select(KEY, HASH, F.col(f"first.{KEY}").alias("group_key"), F.col(f"first.{HASH}").alias("group_hash"), "n_docs")
+    found = checkpoint(routed.groupBy("leaf", "copy").applyInArrow(compare, "node long, other long, links long"))
+    links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
+    roots = components(found.where("node <> other"), "node", "other")
+    member = fps.join(roots, "node", "left").join(links, "node", "left").select("doc_id", KEY, HASH, "n_rows", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.hex("node").alias("class_id"), F.coalesce("root", "node").alias("root"))
+    group = member.groupBy("root").agg(F.min(F.struct("doc_id", KEY, HASH)).alias("first"), F.count("*").alias("n_docs"))
+    return member.join(group, "root").where("n_docs > 1 or n_rows > 1").drop("root")
+
+
+def _folded(n: int, root: np.ndarray, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The forest after further links."""
+    if not links:
+        return root
+    known = np.flatnonzero(root != np.arange(n))
+    return _forest(n, np.concatenate([known, *[a for a, _ in links]]), np.concatenate([root[known], *[b for _, b in links]]))
+
+
+def _is_first() -> F.Column:
+    return (F.col(KEY) == F.col(f"first.{KEY}")) & (F.col(HASH) == F.col(f"first.{HASH}"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Every document that has a near copy: (doc_id, group_id, n_docs, kept); one document of each group is kept."""
-    g = near_duplicate_groups(docs)
-    return g.select(unkey(), unkey("group_key").alias("group_id"), "n_docs", ((F.col(KEY) == F.col("group_key")) & (F.col(HASH) == F.col("group_hash"))).alias("kept"))
+    """Every document that has a copy or near copy: (doc_id, group_id, class_id, n_links, n_docs, kept).
+
+    Documents of one class have equal fingerprints; ``n_links`` is the number of other classes that the class is a near copy of. Links join classes to groups, of which one
+    document, the one called as the group, is kept.
+    """
+    g = near_duplicate_groups(docs).where("n_docs > 1")
+    return g.select("doc_id", F.col("first.doc_id").alias("group_id"), "class_id", "n_links", "n_docs", _is_first().alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group; all columns stay. Rows equal in id and text become one."""
-    gone = near_duplicate_groups(docs).where(~((F.col(KEY) == F.col("group_key")) & (F.col(HASH) == F.col("group_hash")))).select(KEY, HASH)
-    kept = keyed(docs).join(gone, [KEY, HASH], "left_anti").dropDuplicates([KEY, HASH])
-    return kept.select(*docs.columns)
+    """``docs`` with one document of each group; all columns stay. Rows equal in id and text become one.
+
+    Only what goes is joined with the texts: by broadcast if it is small, else by a shuffle of the documents. Documents of several rows
+    are reduced apart, so that all others pass by.
+    """
+    groups = checkpoint(near_duplicate_groups(docs).select(KEY, HASH, "n_rows", _is_first().alias("kept")))
+    rows, by = marked(docs), [KEY, HASH]
+    out = rows.join(small(groups.where("not kept or n_rows > 1").select(*by)), by, "left_anti")
+    several = groups.where("kept and n_rows > 1").select(*by)
+    if several.limit(1).count():
+        out = out.union(rows.join(small(several), by, "left_semi").dropDuplicates(by))
+    return out.select("row.*")
