@@ -2,7 +2,7 @@
 
 import random
 
-from test_llm import brute_contamination, brute_groups, brute_spans, docs, near_fixture, words
+from test_llm import brute_contamination, brute_groups, brute_spans, docs, near_fixture, unpacked, words
 
 import corpus_pipeline
 from sparkvane.llm import toxicity_chain
@@ -45,13 +45,13 @@ def test_pipeline(spark, tmp_path):
     want = [(i, " ".join(w for p, w in enumerate(t.split()) if p not in cut.get(i, ()))) for i, t in want]
     want = [r for r in want if r[1]]
     bad = {i for i, _ in brute_contamination(want, items)}
-    want = {i: len(t.split()) for i, t in want if i not in bad}
+    want = {i: t.split() for i, t in want if i not in bad}
 
     current = frame
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         stage(spark, current, d).write.parquet(f"{d}/out/{k}")
         current = spark.read.parquet(f"{d}/out/{k}")
         assert k == len(corpus_pipeline.STAGES) - 1 or current.columns == columns
-    packed = current.groupBy("doc_id").sum("n_words").collect()
-    assert {r[0]: r[1] for r in packed} == want
-    assert corpus_pipeline.run(spark, d).groupBy("doc_id").sum("n_words").count() == len(want)
+    for result in (current, corpus_pipeline.run(spark, d)):  # every word of every kept document, in order, in some sequence
+        parts = unpacked(result.collect(), 2048)
+        assert {i: "".join(p[k][0] for k in sorted(p)).split() for i, p in parts.items()} == want

@@ -3,13 +3,15 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_llm import AWKWARD, bench_fixture, brute_contamination, brute_groups, brute_neighbours, brute_spans, brute_tokens, docs, labelled, near_fixture, passages, ranges
+from test_llm import AWKWARD, bench_fixture, brute_contamination, brute_groups, brute_neighbours, brute_spans, brute_tokens, docs, labelled, near_fixture, passages, ranges, unpacked
 
 import corpus_pipeline
-from sparkvane.llm import trie_unigram
+from sparkvane.llm import linear, ordinal_quality, toxicity_chain, trie_unigram
 from sparkvane.llm.queries import oracle_sql, queries
+from sparkvane.llm.textops import text_buffers
 
 
 @pytest.fixture(scope="module")
@@ -31,21 +33,21 @@ def tables(spark, tmp_path_factory):
 
 def test_every_operator_has_one_query():
     assert sorted(int(n.split("_")[0][2:]) for n in queries()) == list(range(1, 11))
-    assert set(oracle_sql()) == {"op6_hilbert_sharding", "op8_url_filter"}
+    assert set(oracle_sql()) == {"op1_substring_dedup", "op6_hilbert_sharding", "op8_url_filter"}
 
 
 def test_op1(spark, tables):
     d, rows, _, _ = tables
     want = {i: v for (i, _), v in brute_spans(rows, 50).items()}
-    got = {r["doc_id"]: (ranges(r["repeated"]), ranges(r["cut"])) for r in queries()["op1_substring_dedup"](spark, d).collect()}
-    assert got == want
+    assert ranges(queries()["op1_substring_dedup"](spark, d).collect()) == want
 
 
 def test_op2(spark, tables):
     d, _, _, x = tables
     order, _ = brute_neighbours(x, 10)
     got = {(r["vec_id"], r["neighbour_id"]) for r in queries()["op2_nearest_neighbours"](spark, d).collect()}
-    assert len(got & {(i, int(j)) for i in range(len(x)) for j in order[i]}) >= 0.9 * 10 * len(x)
+    asked = range(0, len(x), 50)
+    assert {q for q, _ in got} == set(asked) and len(got & {(i, int(j)) for i in asked for j in order[i]}) >= 0.9 * 10 * len(asked)
 
 
 def test_op3(spark, tables):
@@ -68,21 +70,30 @@ def test_op3(spark, tables):
 
 
 def test_op4_and_op7(spark, tables):
+    """Against the labels, and row by row against the models applied to each text alone."""
     d, rows, _, _ = tables
-    for name in ("op4_toxicity", "op7_quality"):
-        assert queries()[name](spark, d).count() == len(rows)
+    frame, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    truth = {r["doc_id"]: (r["quality"], r["toxic"]) for r in labels.collect()}
+    toxic = {r["doc_id"]: r for r in queries()["op4_toxicity"](spark, d).collect()}
+    quality = {r["doc_id"]: r for r in queries()["op7_quality"](spark, d).collect()}
+    assert set(toxic) == set(quality) == {i for i, _ in rows} and len(toxic) == len(rows)
+    assert np.mean([toxic[i]["rejected"] == bool(t) for i, (_, t) in truth.items()]) > 0.97
+    assert np.mean([quality[i]["selected"] == (q == 1 and t == 0) for i, (q, t) in truth.items()]) > 0.93
+    chain, model = toxicity_chain.fit_chain(frame, labels), ordinal_quality.fit_quality(frame, labels)
+    for i, t in rows[::37]:
+        x = linear.features(*text_buffers(pa.array([t])))
+        assert np.allclose([toxic[i]["p_low_quality"], toxic[i]["p_toxic"]], chain.probabilities(*x)[0], atol=2e-6)
+        assert np.allclose([quality[i]["p_ge_1"], quality[i]["p_ge_2"]], model.tails(*x)[0], atol=2e-6)
 
 
 def test_op5(spark, tables):
     d, rows, _, _ = tables
     got = queries()["op5_best_fit_packing"](spark, d).collect()
-    fill: dict[int, int] = {}
-    total: dict[int, int] = {}
-    for r in got:
-        fill[r["sequence"]] = fill.get(r["sequence"], 0) + r["n_words"]
-        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["n_words"]
-    assert total == {i: len(t.split()) for i, t in rows} and max(fill.values()) <= 2048
-    assert len(fill) <= -(-sum(total.values()) // 2048) + 2
+    parts = unpacked(got, 2048)
+    assert {i: "".join(p[k][0] for k in sorted(p)) for i, p in parts.items()} == dict(rows)
+    counts = {r["doc_id"]: r["n_tokens"] for r in queries()["op3_token_counts"](spark, d).collect()}
+    total = sum(p["n_tokens"] for r in got for p in r["pieces"])
+    assert total == sum(counts.values()) and len(got) <= 1.02 * total / 2048 + 2
 
 
 def test_op9(spark, tables):
@@ -107,7 +118,7 @@ def test_pipeline_stages_take_awkward_documents(spark, tmp_path):
     spark.createDataFrame([(1, None), (None, "x y"), (2, "")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     rng = random.Random(1)
     rows = AWKWARD + [(50, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000)))]
-    full = docs(spark, rows).withColumns({"lang": F.when(F.col("doc_id") == 1, F.lit(None)).otherwise("en"), "n_chars": F.lit(None).cast("long"), "source": F.lit(None).cast("string"), "sym": F.lit("s"), "root": F.lit(1), "op": F.lit(True), "length": F.lit(2.0), "item_id": F.lit(9)})
+    full = docs(spark, rows).withColumns({"lang": F.when(F.col("doc_id") == 1, F.lit(None)).otherwise("en"), "n_chars": F.lit(None).cast("long"), "source": F.lit(None).cast("string"), "sym": F.lit("s"), "root": F.lit(1), "op": F.lit(True), "length": F.lit(2.0), "item_id": F.lit(9), "row": F.lit("r"), "__doc_key": F.lit(1), "__doc_hash": F.lit(2), "h": F.lit(0), "y0": F.lit(1), "known": F.lit(3)})
     for start in (full, full.where("false")):
         current = start
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -117,7 +128,7 @@ def test_pipeline_stages_take_awkward_documents(spark, tmp_path):
             current = spark.read.parquet(path)
             if k < 4:
                 assert current.columns == full.columns, name
-        assert (current.count() > 30) == (start is full)
+        assert (current.count() > 20) == (start is full)
 
 
 def test_pipeline_is_registered():
