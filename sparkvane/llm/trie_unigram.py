@@ -31,7 +31,7 @@ from .textops import _BYTE_VALUES, U64, Tokens, _powers, mix, text_buffers, toke
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Bytes of a pre-token that goes through the trie, and pre-tokens whose counts a worker remembers.
 LONG, MEMORY = 64, 500_000
 
