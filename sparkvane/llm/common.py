@@ -13,7 +13,17 @@ KEY, HASH = "__doc_key", "__doc_hash"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of a batch that goes to a Python worker, where the session keeps Spark's default (64 MB): a worker's memory is a multiple of it.
+BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_CONF, "").rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -29,10 +39,12 @@ def identity(doc_id: str = "doc_id", text: str = "text") -> dict[str, F.Column]:
 
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, text, identity) of every row."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text", *[c.alias(k) for k, c in identity().items()])
 
 
 def id_type(docs: DataFrame, column: str = "doc_id") -> str:
+    bound_batches(docs.sparkSession)
     return docs.schema[column].dataType.simpleString()
 
 

@@ -33,7 +33,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 CHUNK = 1 << 20
 #: Bytes of a pre-token that goes through the trie, and pre-tokens whose counts a worker remembers.
-LONG, MEMORY = 64, 500_000
+LONG, MEMORY = 64, 200_000
 
 
 class Vocabulary:
