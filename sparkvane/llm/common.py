@@ -18,7 +18,7 @@ BATCH_CONF, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerB
 
 
 def bound_batches(spark: SparkSession) -> None:
-    if spark.conf.get(BATCH_CONF, "").rstrip("b") == str(BATCH_DEFAULT):
+    if spark.conf.get(BATCH_CONF).rstrip("b") == str(BATCH_DEFAULT):
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
 
 
