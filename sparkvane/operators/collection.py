@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import METRICS, norm_of
@@ -14,7 +14,7 @@ from ..plans.compiler import Compiler, kind_of
 from ..plans.query import Query, QueryBuilder
 from ..sources.documents import unify
 
-#: Query batches of at most this many rows are broadcast; larger ones are joined without the hint.
+#: Rows of a query batch that are broadcast at a time; larger batches are cut into blocks of about so many.
 BROADCAST_QUERIES = 4096
 
 
@@ -64,7 +64,6 @@ class Collection:
         """
         if k is not None and k < 0:
             raise ValueError("k must not be negative")
-        began = time.perf_counter()
         df, open_ = self._scored(query, scoring, options)
         if fields is not None:
             df = df.select(self.id_col, *[f for f in fields if f != self.id_col], "score")
@@ -75,18 +74,26 @@ class Collection:
             df = df.where("score > 0")
         if min_score is not None:
             df = df.where(F.col("score") >= min_score)
-        self._record("search.planning", time.perf_counter() - began)
+        self._record("search.count", 1)
         return df if k is not None else df.orderBy(*order)
 
-    def search_batch(self, queries: DataFrame, field: str, k: int, query_id: str = "query_id", vector: str = "vector", metric: str = "cosine", min_score: float = 0.0) -> DataFrame:
-        """The best ``k`` documents above ``min_score`` for each row of ``queries``: (query_id, id, score, rank).
+    def hits(self, query: Query | QueryBuilder, k: int, **options: Any) -> list[Row]:
+        """The rows of ``search``, found now: the time that takes is recorded as the search's latency."""
+        began = time.perf_counter()
+        rows = self.search(query, k, **options).collect()
+        self._record("search.latency", time.perf_counter() - began)
+        return rows
+
+    def search_batch(self, queries: DataFrame, field: str, k: int, query_id: str = "query_id", vector: str = "vector", metric: str = "cosine", min_score: float = 0.0, on_mismatch: str = "error") -> DataFrame:
+        """The best ``k`` documents of a positive score of at least ``min_score`` for each row of ``queries``: (query_id, id, score, rank).
 
-        A row number below k per query lets Spark keep only k rows of each query in every partition before the shuffle.
+        As in ``search``, vectors of another length are an error, or no match with ``on_mismatch="skip"``. A row number below k per query lets
+        Spark keep only k rows of each query in every partition before the shuffle. All documents are read once for each block of queries.
         """
         if kind_of(self.df.schema[field].dataType) != "vector":
             raise ValueError(f"{field!r} is not a vector field")
         asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__query"))
-        small = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+        blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
         norm = F.col(self.norms[field]) if field in self.norms else norm_of(F.col(field))
         # Norms are worked out once a row, not once a pair; a table in few files is spread over all cores first.
         data = self.df.select(F.col(self.id_col), F.col(field).alias("__data"), norm.alias("__norm"))
@@ -95,9 +102,17 @@ class Collection:
             data = data.repartition(cores)
         asked = asked.withColumn("__query_norm", norm_of(F.col("__query")))
         score = METRICS[metric](F.col("__data"), F.col("__query"), "float64", F.col("__norm"), F.col("__query_norm"))
-        pairs = data.crossJoin(F.broadcast(asked) if small else asked).withColumn("score", score).where(F.col("score") > min_score)
+        if on_mismatch == "error":
+            other = F.size("__data") != F.size("__query")
+            score = F.when(other, F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(score)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col))
-        return pairs.select("query_id", self.id_col, "score").withColumn("rank", rank).where(F.col("rank") <= k)
+        found = None
+        for b in range(blocks):
+            part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
+            pairs = data.crossJoin(F.broadcast(part)).withColumn("score", score).where((F.col("score") > 0) & (F.col("score") >= min_score))
+            best = pairs.select("query_id", self.id_col, "score").withColumn("rank", rank).where(F.col("rank") <= k)
+            found = best if found is None else found.union(best)
+        return found
 
     def get(self, doc_id: Any) -> DataFrame:
         """The document of that id: one row or none."""

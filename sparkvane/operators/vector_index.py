@@ -21,6 +21,8 @@ from ..plans.query import Similar
 from .collection import Collection
 
 SAMPLE_ROWS, ITERATIONS = 20_000, 12
+#: Answers of at most so many rows come from the one job that finds them.
+LOCAL_ROWS = 10_000
 #: Share of the best k that the lists probed must hold in the sample, the vectors it is measured on, and the k it is measured for.
 RECALL, MEASURED_ROWS, MEASURED_K = 0.95, 500, (1, 10, 100, 1000)
 
@@ -35,7 +37,7 @@ def spherical_kmeans(x: np.ndarray, k: int, iterations: int = ITERATIONS, seed:
     x = _unit(x.astype(np.float64))
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(iterations):
-        nearest = (x @ c.T).argmax(axis=1)
+        nearest = np.concatenate([(x[s : s + 1024] @ c.T).argmax(axis=1) for s in range(0, len(x), 1024)])
         total = np.zeros_like(c)
         np.add.at(total, nearest, x)
         empty = np.bincount(nearest, minlength=len(c)) == 0
@@ -74,11 +76,14 @@ class VectorIndex:
 
     @classmethod
     def build(cls, df: DataFrame, field: str, id_col: str = "doc_id", nlist: int | None = None, sample_rows: int = SAMPLE_ROWS) -> VectorIndex:
-        """``nlist`` defaults to the square root of the number of vectors. The sample is the rows of least hashed id."""
+        """``nlist`` defaults to the square root of the number of vectors, and is at most the size of the sample: rows chosen by hashed id, ``sample_rows`` at most."""
         usable = df.where(F.size(field) > 0)
         n = usable.count()
         nlist = nlist or max(1, round(n**0.5))
-        rows = usable.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows).select(field).toArrow()
+        if n > sample_rows:  # a filter by hash, so that no more than the sample meets anywhere
+            share = max(sample_rows - 4 * sample_rows**0.5, 1) / n
+            usable = usable.where(F.shiftrightunsigned(F.xxhash64(id_col), 1) < F.lit(int(share * (1 << 63)))).limit(sample_rows)
+        rows = usable.select(field).toArrow()
         if not rows.num_rows:
             raise ValueError("no vectors to index")
         x = np.array(rows.column(0).to_pylist(), dtype=np.float64)
@@ -128,11 +133,28 @@ class VectorIndex:
             found = self.candidates(vector, probes)
             found = found if where is None else found.where(where)
             hits = Collection(found, self.id_col).search(Similar(self.field, tuple(vector)), k)
-            if probes >= self.nlist or hits.count() >= k:
+            if probes >= self.nlist:
+                break
+            if k <= LOCAL_ROWS:  # the answer itself tells whether it is complete: one job, not one to count and one to fetch
+                rows = hits.toArrow()
+                hits = self.lists.sparkSession.createDataFrame(rows, hits.schema) if rows.num_rows else hits.limit(0)
+                if rows.num_rows >= k:
+                    break
+            elif hits.count() >= k:
                 break
             probes *= 2
         return hits.withColumn("score", (F.col("score") + 1) / 2) if blend_match_all else hits
 
+    def add(self, docs: DataFrame) -> VectorIndex:
+        """With further documents in the lists of their nearest centroids; they replace those of equal id. The centroids stay."""
+        kept = self.remove(docs.select(self.id_col)).lists
+        return VectorIndex(kept.unionByName(_assign(docs, self.field, self.centroids), allowMissingColumns=True), self.centroids, self.field, self.id_col, self.probes)
+
+    def remove(self, ids: DataFrame) -> VectorIndex:
+        """Without the documents of the given ids; unknown ids are no error."""
+        gone = ids.select(F.col(ids.columns[0]).alias(self.id_col)).distinct()
+        return VectorIndex(self.lists.join(gone, self.id_col, "left_anti").select(*self.lists.columns), self.centroids, self.field, self.id_col, self.probes)
+
     def recall(self, vectors: Sequence[Sequence[float]], k: int, nprobe: int | None = None) -> float:
         """Share of the exact best k that the index finds, over the given queries."""
         hit = total = 0

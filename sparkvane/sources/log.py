@@ -7,6 +7,7 @@ the live view as a new base and never touches what is being read.
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,13 +61,25 @@ class MutationLog:
         return self._append(ids.select(F.col(ids.columns[0]).alias(self.id_col)), "REMOVE", tx)
 
     def entries(self) -> DataFrame | None:
-        """All committed entries since the last base, with ``tx``, ``op`` and ``seq``."""
-        parts = []
-        for tx in self.transactions():
-            base = f"{self.path}/base={tx:012d}"
-            source = base if self._exists(f"{base}/_SUCCESS") else f"{self.path}/tx={tx:012d}"
-            parts.append(self.spark.read.parquet(source).withColumn("tx", F.lit(tx)))
-        return unify(parts) if parts else None
+        """All committed entries since the last base, with ``tx``, ``op`` and ``seq``.
+
+        Transactions of one schema, or of schemas that merge, are one read whatever their number; only where a field has values of different kinds is each read by itself.
+        """
+        numbers = self.transactions()
+        if not numbers:
+            return None
+        first = f"{self.path}/base={numbers[0]:012d}"
+        has_base = self._exists(f"{first}/_SUCCESS")
+        base = [self.spark.read.parquet(first).withColumn("tx", F.lit(numbers[0]))] if has_base else []
+        rest = numbers[1:] if has_base else numbers
+        folders = [f"{self.path}/tx={n:012d}" for n in rest]
+        if not rest:
+            return base[0]
+        try:
+            later = [self.spark.read.option("basePath", self.path).option("mergeSchema", True).parquet(*folders)]
+        except PySparkException:  # the schemas don't merge
+            later = [self.spark.read.parquet(f).withColumn("tx", F.lit(n)) for f, n in zip(folders, rest, strict=True)]
+        return unify([*base, *later])
 
     def live(self) -> DataFrame:
         """The documents as they are now."""

@@ -479,6 +479,7 @@ def test_telemetry(spark, mixed):
     assert [telemetry.sampled(spark.range(4096), F.col("id"), k).count() for k in ("OFF", "ALL")] == [0, 4096]
     assert 10 < telemetry.sampled(spark.range(8192), F.col("id"), "LOW").count() < 60
     assert any("documents_count" in x[0] for x in telemetry.exposition(m).collect())
+    assert len(c.hits(MatchAll(), 2)) == 2 and {x[1] for x in r.rows} == {"search.count", "documents.count", "search.latency"}
 
 
 def test_compiler_rejects_unknown(mixed):

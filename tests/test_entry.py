@@ -7,8 +7,10 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
+from sparkvane.operators.collection import Collection
 from sparkvane.operators.vector_index import VectorIndex
 
 DATA = "/root/testdata/sf0.001"
@@ -64,14 +66,12 @@ def test_ann_topk_recall_on_the_tables(spark, sf):
     assert len(found & {ids[b] for b in best[ids.index(0)]}) >= 9
 
 
-def test_batch_top_k_of_every_row(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding").orderBy("vec_id").collect()
-    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    score = (x @ x.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :])
-    want = {}
-    for q, s in zip(ids, score):
-        best = np.lexsort((ids, -s))[:5]
-        want |= {(int(q), r + 1): (int(ids[b]), s[b]) for r, b in enumerate(best) if s[b] > 0}
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in e.queries()["vec_batch_topk_all"](spark, "/root/testdata/sf0.01").collect()}
-    assert {q for q, _ in got} == set(ids.tolist()) and got.keys() == want.keys()
-    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+def test_batches_of_queries_are_cut_into_blocks(spark, monkeypatch):
+    e_ = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = e_.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    c = Collection(e_, "vec_id")
+    whole = c.search_batch(asked, "embedding", 3).collect()
+    monkeypatch.setattr("sparkvane.operators.collection.BROADCAST_QUERIES", 100)
+    assert sorted(c.search_batch(asked, "embedding", 3).collect()) == sorted(whole) and len(whole) == 1500
+    with pytest.raises(Exception, match="differ in length"):
+        c.search_batch(asked.withColumn("vector", F.slice("vector", 1, 5)), "embedding", 3).collect()
