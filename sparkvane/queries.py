@@ -296,7 +296,8 @@ def collection_add_remove(spark: SparkSession, d: str) -> DataFrame:
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder: below the session's shared one, or a temporary one for a session in one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not shared and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='sparkvane-')}/{name}-{uuid.uuid4().hex}"
 
