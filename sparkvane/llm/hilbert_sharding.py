@@ -4,8 +4,8 @@ Language, source and length are quantised to ``BITS`` bits each; a cell's place
 documents so that a run of them is compact in all three dimensions, and runs of ``SHARD_ROWS`` documents become shards. A file
 for each shard then has narrow minima and maxima in every dimension, which readers prune by.
 
-* ``lang`` and ``source``: number of cut points not above the value. The cut points divide the sorted distinct values into 2^BITS equal runs;
-  of more than ``VALUES`` distinct values those of least hash stand for all.
+* ``lang`` and ``source``: number of cut points not above the value. The cut points divide the sorted distinct values into 2^BITS equal runs,
+  whatever the number of values: up to ``VALUES`` are sorted by the driver, more by range partitions, with the same result.
 * ``n_chars``: two steps an octave.
 
 Positions are exact without a global sort: cells and salts within a cell are counted, the counts' running sums give
@@ -25,10 +25,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from .common import checkpoint
 
 BITS, SHARD_ROWS = 5, 4096
-#: Salts at least, rows of a window about, distinct values that cut points are taken from.
+#: Salts at least, rows of a window about, distinct values that are sorted by the driver.
 SALTS, WINDOW_ROWS, VALUES = 64, 1 << 20, 10_000
 THRESHOLDS = [int(round(2 ** (k / 2))) for k in range(4, 4 + (1 << BITS) - 1)]
 
@@ -75,10 +75,26 @@ def cut_points(docs: DataFrame, column: str, bits: int = BITS, values: int = VAL
     distinct = docs.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")).distinct()
     rows = distinct.limit(values + 1).collect()
     if len(rows) > values:
-        rows = hashed_sample(distinct, values, "value").collect()
+        return _distributed_cut_points(distinct, steps)
     known = sorted((r["value"] for r in rows), key=lambda v: v.encode())
-    code = [r * steps // max(len(known), steps) for r in range(len(known))]
-    return [v for v, a, b in zip(known[1:], code[1:], code[:-1], strict=True) if a > b]
+    return [known[r] for r in _cut_ranks(len(known), steps)]
+
+
+def _cut_ranks(n: int, steps: int) -> list[int]:
+    """The ranks, of n sorted values, at which the next run begins: the first r of which r * steps // max(n, steps) is k."""
+    return [r for r in (-(-k * max(n, steps) // steps) for k in range(1, steps)) if r < n]
+
+
+def _distributed_cut_points(distinct: DataFrame, steps: int) -> list[str]:
+    """The same cut points of any number of values: sorted by range partitions, whose sizes tell in which of them, and where, each rank lies."""
+    # An id is the partition's number, shifted by 33 bits, and the place in it; written once, so that both queries see the same ids.
+    ranged = checkpoint(distinct.orderBy("value").select("value", F.monotonically_increasing_id().alias("id")))
+    sizes = sorted(ranged.groupBy(F.shiftright("id", 33).alias("part")).count().collect())
+    ids, before, ranks = [], 0, _cut_ranks(sum(r["count"] for r in sizes), steps)
+    for part, n in sizes:
+        ids += [(part << 33) + r - before for r in ranks if before <= r < before + n]
+        before += n
+    return [r["value"] for r in ranged.where(F.col("id").isin(ids)).orderBy("id").collect()]
 
 
 def _steps(value: F.Column, cuts: list) -> F.Column:

@@ -593,6 +593,30 @@ def test_cut_points_divide_any_number_of_values(spark):
     assert 28 <= len(cuts) <= 31 and cuts == sorted(cuts) and cuts[15] > "v02000" and cuts[15] < "v03000"
 
 
+def test_cut_points_are_exact_above_any_number_of_values(spark):
+    """They were those of a sample when there were more values than the driver sorts."""
+    values = sorted({f"{'é' * (i % 3)}v{i * 7919 % 10007:05}" for i in range(1234)} | {"", "~", "\U0001f600", "\uffff"}, key=str.encode)
+    df = spark.createDataFrame([(v or None,) for v in values * 2], "source string").repartition(5)
+    want = [v for r, v in enumerate(values) if r and r * 32 // len(values) > (r - 1) * 32 // len(values)]
+    assert len(want) == 31
+    assert hilbert_sharding.cut_points(df, "source") == hilbert_sharding.cut_points(df, "source", values=10) == want
+    assert hilbert_sharding.cut_points(df, "source", values=len(values) - 1) == hilbert_sharding.cut_points(df, "source", values=len(values)) == want
+    few = df.where("source < 'v00100'")
+    assert hilbert_sharding.cut_points(few, "source", values=0) == hilbert_sharding.cut_points(few, "source")
+
+
+def test_shards_of_many_sources_match_sql(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(hilbert_sharding.cut_points, "__defaults__", (hilbert_sharding.BITS, 50))
+    rows = [(i, "t", f"l{i % 70}", f"s{i * 7919 % 1009}", i * 37 % 9000) for i in range(3000)]
+    got = hilbert_sharding.shards(spark.createDataFrame(rows, DOCS), shard_rows=64)
+    with duckdb.connect() as db:
+        db.register("documents", pa.table({"doc_id": [r[0] for r in rows], "lang": [r[2] for r in rows], "source": [r[3] for r in rows], "n_chars": [r[4] for r in rows]}))
+        want = db.sql(hilbert_sharding.shards_sql(shard_rows=64)).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 # 8 URL filter
 
 
