@@ -10,10 +10,11 @@ sign bits of their hashed sum, kept as four words of 64. Two documents are near
 
 The search is exact for that definition. Documents with equal fingerprint and length form a class first. A tree whose
 inner nodes are vantage points (a fingerprint, or the empty document for the thermometer part) is built from a bounded
-sample; each node splits at the median distance. Every class has one home leaf and visits, as a query, the leaves
-that the triangle bound can't exclude (distance within the radius of the split). A leaf compares home x (home + visitors); if the sample
+sample; each node splits at the median distance. Every class has one home leaf and visits, as a query, leaves
+that the triangle bound can't exclude (distance within the radius of the split). The bound is symmetric: of two close classes each could visit the other's
+leaf, so for any two leaves only the classes of one visit the other, and a pair is compared once. A leaf compares home x (home + visitors); if the sample
 tells of more than ``VISITORS`` visitors, these are dealt over copies of the leaf, so that memory stays bounded.
-Of all vantage points tried for a node the one with the least overlap is taken. All links of a class are found, and counted, at its home;
+Of all vantage points tried for a node the one with the least overlap is taken. A link is found in one leaf and counted for both its classes;
 links are folded to a forest block by block, so a leaf never holds all its pairs.
 
 The result has one row a document with its class and the class's number of links to other classes; copies aren't expanded into pairs.
@@ -149,24 +150,53 @@ class Tree:
             stack.append((a, rows[to_a], home[to_a] & (d[to_a] <= mu)))
             stack.append((b, rows[to_b], home[to_b] & (d[to_b] > mu)))
 
-
-def close_pairs(fp: np.ndarray, level: np.ndarray, home: np.ndarray, r64: int, r256: int, r_len: int, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs (home row, row) within the radii, block by block; of two home rows the first comes first. Rows must be sorted by level."""
-    first = np.ascontiguousarray(fp[:, 0])
-    homes = np.flatnonzero(home)
+    def meetings(self, word: np.ndarray, level: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """As ``route``, but of any two leaves only one is visited from the other: each is from about half of the others."""
+        routed, own = list(self.route(word, level)), np.zeros(len(word), np.int64)
+        for leaf, rows, home in routed:
+            own[rows[home]] = leaf
+        for leaf, rows, home in routed:
+            ahead = (leaf - own[rows]) % self.leaves
+            stays = home | (2 * ahead < self.leaves) | ((2 * ahead == self.leaves) & (own[rows] < leaf))
+            yield leaf, rows[stays], home[stays]
+
+
+def _within(a: np.ndarray, b: np.ndarray, r: int) -> np.ndarray:
+    """Places, in the flattened table of all pairs of a and b, of those that differ in at most r bits."""
+    near = (np.bitwise_count(a[:, None] ^ b[None]) <= r).ravel()
+    if len(near) % 8:
+        return np.flatnonzero(near)
+    some = np.flatnonzero(near.view(U64))  # few are near: look for them in eights first
+    at = np.flatnonzero(near.reshape(-1, 8)[some].ravel())
+    return some[at >> 3] * 8 + (at & 7)
+
+
+def close_pairs(fp: np.ndarray, level: np.ndarray, home: np.ndarray, r64: int, r256: int, r_len: int, inner: bool = True, block: int = 64, width: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs (home row, visitor) within the radii, and, if ``inner``, (home row, later home row), block by block. Rows must be sorted by level."""
+    words = [np.ascontiguousarray(fp[:, w]) for w in range(4)]
+    sides = [(at, words[0][at], level[at]) for at in (np.flatnonzero(home), np.flatnonzero(~home))]
+    homes, first, levels = sides[0]
     for s in range(0, len(homes), block):
-        q = homes[s : s + block]
-        lo = int(np.searchsorted(level, level[q[0]] - r_len, "left"))
-        hi = int(np.searchsorted(level, level[q[-1]] + r_len, "right"))
-        for c in range(lo, hi, 8192):
-            e = min(hi, c + 8192)
-            i, j = np.nonzero(np.bitwise_count(first[q, None] ^ first[None, c:e]) <= r64)
-            i, j = q[i], j + c
-            ok = (np.abs(level[i] - level[j]) <= r_len) & (i != j) & ~(home[j] & (j < i))
-            i, j = i[ok], j[ok]
-            if len(i):
-                ok = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1, dtype=np.int64) <= r256
-                yield i[ok], j[ok]
+        q, own, reach = homes[s : s + block], first[s : s + block], levels[s : s + block]
+        for side, (others, word, its) in enumerate(sides):
+            if not (side or inner):
+                continue
+            lo = max(0 if side else s, int(np.searchsorted(its, reach[0] - r_len, "left")))
+            hi = int(np.searchsorted(its, reach[-1] + r_len, "right"))
+            for c in range(lo, hi, width):
+                e = min(hi, c + width)
+                i, j = np.divmod(_within(own, word[c:e], r64), e - c)
+                i, j = q[i], others[c:e][j]
+                # Of pairs that are near in the first word hardly any is in three.
+                d = sum(np.bitwise_count(w[i] ^ w[j]) for w in words[:3])
+                ok = d <= r256
+                if ok.any():
+                    i, j, d = i[ok], j[ok], d[ok]
+                    ok = (d + np.bitwise_count(words[3][i] ^ words[3][j]) <= r256) & (np.abs(level[i] - level[j]) <= r_len)
+                    if not side:
+                        ok &= j > i
+                    if ok.any():
+                        yield i[ok], j[ok]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,14 +248,14 @@ def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_l
 
     copies = np.ones(tree.leaves, np.int64)
     if sample is not None:
-        for leaf, _, home in tree.route(sample["f0"].to_numpy().astype(np.int64).view(U64), length_level(sample["n_words"].to_numpy())):
+        for leaf, _, home in tree.meetings(sample["f0"].to_numpy().astype(np.int64).view(U64), length_level(sample["n_words"].to_numpy())):
             copies[leaf] = max(1, -(-int((~home).sum()) * total // (len(sample) * visitors)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word = batch.column("f0").to_numpy().view(U64)
             level = length_level(batch.column("n_words").to_numpy())
-            for leaf, rows, home in tree.route(word, level):
+            for leaf, rows, home in tree.meetings(word, level):
                 n = int(copies[leaf])
                 # A visitor goes to one copy of the leaf, a row at home to all.
                 copy = np.where(home, 0, (mix(word[rows]) % U64(n)).astype(np.int64))
@@ -238,24 +268,27 @@ def near_duplicate_groups(docs: DataFrame, r64: int = R64, r256: int = R256, r_l
     out = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
     def compare(table: pa.Table) -> pa.Table:
-        """A link of each class to its tree's root in this leaf, and how many links each class at home has here."""
+        """A link of each class to its tree's root in this leaf, and how many links each class has here."""
         level = length_level(table.column("n_words").to_numpy())
         order = np.argsort(level, kind="stable")
         ids = table.column("node").to_numpy()[order]
         fp = np.stack([table.column(f"f{w}").to_numpy().view(U64)[order] for w in range(4)], axis=1)
         home = table.column("home").to_numpy(zero_copy_only=False)[order]
-        n, both = len(ids), int(table.column("copy")[0].as_py()) == 0  # two rows at home meet in every copy, and count in the first
+        n, inner = len(ids), int(table.column("copy")[0].as_py()) == 0  # two rows at home meet in the first copy only
         root, links, kept, size = np.arange(n), np.zeros(n, np.int64), [], 0
-        for a, b in close_pairs(fp, level[order], home, r64, r256, r_len):
-            inner = home[b]
-            links += np.bincount(a[~inner] if not both else a, minlength=n)
-            if both:
-                links += np.bincount(b[inner], minlength=n)
-            kept.append((a, b))
-            size += len(a)
+
+        def fold() -> None:
+            nonlocal root, links, kept, size
+            for side in zip(*kept, strict=True):
+                links += np.bincount(np.concatenate(side), minlength=n)
+            root, kept, size = _folded(n, root, kept), [], 0
+
+        for pair in close_pairs(fp, level[order], home, r64, r256, r_len, inner):
+            kept.append(pair)
+            size += len(pair[0])
             if size > LINKS:
-                root, kept, size = _folded(n, root, kept), [], 0
-        root = _folded(n, root, kept)
+                fold()
+        fold()
         some = np.flatnonzero((root != np.arange(n)) | (links > 0))
         return pa.table([ids[some], ids[root[some]], links[some]], schema=out)
 

@@ -870,6 +870,44 @@ def test_vantage_point_tree_prunes_and_finds_all():
     assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(every)) if i < j}
 
 
+@pytest.mark.parametrize("leaves", [1, 2, 7, 8])
+def test_two_classes_meet_in_one_leaf_only(leaves):
+    """Each of them visited the other's leaf, so that all pairs were compared twice."""
+    rng = np.random.default_rng(4)
+    n = 600
+    word = rng.integers(0, 1 << 63, n).astype(U64)
+    word[1::2] = word[::2] ^ (U64(1) << rng.integers(0, 63, n // 2).astype(U64))
+    level = np.repeat(rng.integers(0, 60, n // 2), 2) + rng.integers(0, 4, n)
+    met = np.zeros((n, n), int)
+    tree = simhash_vptree.Tree(word, level, leaves, 3, 4)
+    for _, rows, home in tree.meetings(word, level):
+        a, b = rows[home], rows[~home]
+        met[np.ix_(a, a)] += 1
+        met[np.ix_(a, b)] += 1
+        met[np.ix_(b, a)] += 1
+    close = (np.bitwise_count(word[:, None] ^ word[None]) <= 3) & (np.abs(level[:, None] - level[None]) <= 4)
+    assert tree.leaves == leaves and met.max() == 1 and (met[close] == 1).all() and (np.diag(met) == 1).all()
+
+
+@pytest.mark.parametrize(("n", "block", "width"), [(403, 64, 2048), (403, 7, 13), (64, 8, 16), (2, 64, 2048)])
+def test_close_pairs_are_all_pairs_once(n, block, width):
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, (n, 4)).astype(U64)
+    for k in range(1, n, 2):
+        for w in range(4):
+            fp[k, w] = fp[k - 1, w] ^ np.bitwise_or.reduce(U64(1) << rng.integers(0, 63, rng.integers(1, 30)).astype(U64))
+    level = np.sort(rng.integers(0, 40, n))
+    home = rng.random(n) < 0.5
+    home[0] = True
+    near = (np.bitwise_count(fp[:, None, 0] ^ fp[None, :, 0]) <= 22) & (np.bitwise_count(fp[:, None] ^ fp[None]).sum(axis=2) <= 60) & (np.abs(level[:, None] - level[None]) <= 8)
+    inside = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))) if home[i] and home[j] and i < j}
+    across = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near))) if home[i] and not home[j]}
+    for inner in (True, False):
+        got = [(int(i), int(j)) for a, b in simhash_vptree.close_pairs(fp, level, home, 22, 60, 8, inner, block, width) for i, j in zip(a, b)]
+        assert len(got) == len(set(got)) and set(got) == (inside | across if inner else across)
+    assert n < 100 or (len(inside) > 5 and len(across) > 5)
+
+
 @pytest.mark.parametrize("rows_to_broadcast", [1_000_000, 0])
 def test_drop_near_duplicates(spark, monkeypatch, rows_to_broadcast):
     monkeypatch.setattr("sparkvane.llm.common.small.__defaults__", (rows_to_broadcast,))
