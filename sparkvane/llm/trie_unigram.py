@@ -4,7 +4,7 @@ A pre-token is a maximal run of bytes other than ASCII white space, with the mar
 segmentation maximises the sum of the pieces' scores. The distinct pre-tokens of a chunk of documents form a trie; the forward
 score of a trie node (a prefix) depends on its ancestors only, so it is computed once for all pre-tokens that share the prefix,
 depth by depth for all nodes of that depth at a time, and the number of tokens stored at a terminal node is that pre-token's count.
-Counts are remembered within a worker, so later chunks only bring their new pre-tokens. Pre-tokens of more than ``LONG`` bytes, whose prefixes hardly
+Counts are remembered within a worker, in sorted arrays, so later chunks only bring their new pre-tokens. Pre-tokens of more than ``LONG`` bytes, whose prefixes hardly
 anything shares, take the same steps one by one along their own path.
 
 The vocabulary comes from a public tokenizer file whose path is a parameter. Log probabilities in it are taken as they are; a file that
@@ -33,7 +33,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 CHUNK = 1 << 20
 #: Bytes of a pre-token that goes through the trie, and pre-tokens whose counts a worker remembers.
-LONG, MEMORY = 64, 200_000
+LONG, MEMORY = 64, 1 << 20
 
 
 class Vocabulary:
@@ -54,16 +54,32 @@ class Vocabulary:
         self.fallback = float(self.score.min()) - 10 if len(self.score) else -10.0
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.key & U64(0xFFFFF)).astype(np.int64)] = True
-        self.memory: dict[int, int] = {}  # by a pre-token's hash
+        self.known, self.counts = np.zeros(0, U64), np.zeros(0, np.int32)  # remembered pre-tokens by hash, sorted
 
     def scores(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which of the keys are pieces, their scores)."""
-        hit = np.flatnonzero(self.filter[(key & U64(0xFFFFF)).astype(np.int64)])
+        hit = np.flatnonzero(self.filter[(key & U64(0xFFFFF)).view(np.int64)])
         at = np.searchsorted(self.key, key[hit])
         at[at == len(self.key)] = 0
         ok = self.key[at] == key[hit] if len(self.key) else np.zeros(len(hit), bool)
         return hit[ok], self.score[at[ok]]
 
+    def recalled(self, names: np.ndarray) -> np.ndarray:
+        """Token counts of pre-tokens by hash, -1 for those that aren't remembered."""
+        if not len(self.known):
+            return np.full(len(names), -1, np.int64)
+        at = np.searchsorted(self.known, names)
+        at[at == len(self.known)] = 0
+        return np.where(self.known[at] == names, self.counts[at], -1).astype(np.int64)
+
+    def remember(self, names: np.ndarray, counts: np.ndarray) -> None:
+        """Adds pre-tokens that aren't remembered yet, in the order of their hashes; if there would be too many, all earlier ones go."""
+        if len(self.known) + len(names) > MEMORY:
+            self.known, self.counts = names[:MEMORY], counts[:MEMORY].astype(np.int32)
+            return
+        at = np.searchsorted(self.known, names)
+        self.known, self.counts = np.insert(self.known, at, names), np.insert(self.counts, at, counts)
+
 
 def load_vocabulary(path: str = VOCABULARY) -> Vocabulary:
     """The normal pieces of a sentencepiece file, with their log probabilities, or scored by rank where it has none."""
@@ -92,16 +108,36 @@ def _name(total: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(U64))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct keys, a place of each, which of them each key is)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
 def word_counts(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
-    """Number of tokens of each word (distinct, without the mark), through one trie."""
-    n = len(words)
+    """Number of tokens of each word (distinct, without the mark)."""
+    size = np.array([len(w) for w in words], np.int64)
+    return slice_counts(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size, vocabulary)
+
+
+def slice_counts(data: np.ndarray, start: np.ndarray, size: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Number of tokens of each word (distinct, without the mark) given as a slice of the data, through one trie."""
+    n, mark = len(start), len(MARK)
     if not n:
         return np.zeros(0, np.int64)
-    size = np.array([len(w) + len(MARK) for w in words], np.int64)
     order = np.argsort(-size, kind="stable")  # the words of at least some length are a prefix of this order
-    buffer = np.frombuffer(b"".join(MARK + words[i] for i in order), np.uint8)
-    size = size[order]
+    size, source = size[order] + mark, start[order] - mark
     start = np.cumsum(size) - size
+    buffer = np.empty(int(size.sum()), np.uint8)
+    marks = start[:, None] + np.arange(mark)
+    if len(data):
+        buffer[:] = data[np.maximum(np.arange(len(buffer)) + np.repeat(source - start, size), 0)]
+    buffer[marks] = np.frombuffer(MARK, np.uint8)
     total = _prefix(buffer)
     _, down = _powers.upto(len(buffer) + 1)
     longest = int(vocabulary.sizes.max()) if len(vocabulary.sizes) else 1
@@ -114,8 +150,9 @@ def word_counts(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
         while alive and size[alive - 1] < d:
             alive -= 1
         s = start[:alive]
-        _, rep, node = np.unique(_name(total, down, s, s + d), return_index=True, return_inverse=True)
+        _, rep, node = distinct(_name(total, down, s, s + d))
         at = s[rep]
+        upto = total[at + d]
         parent = node_of[d - 1][rep]
         lead = (buffer[at + d - 1] & 0xC0) != 0x80
         score = best[d - 1][parent] + np.where(lead, vocabulary.fallback, 0.0)
@@ -123,7 +160,8 @@ def word_counts(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
         for length in vocabulary.sizes[::-1]:
             if length > d:
                 continue
-            hit, value = vocabulary.scores(_name(total, down, at + d - length, at + d))
+            begin = at + (d - length)
+            hit, value = vocabulary.scores(mix((upto - total[begin]) * down[begin] + U64(length)))
             if not len(hit):
                 continue
             ancestor = node_of[d - length][rep[hit]]
@@ -190,26 +228,19 @@ def token_ends(word: bytes, vocabulary: Vocabulary) -> np.ndarray:
 
 def counted(data: np.ndarray, offs: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[int, int, Tokens, np.ndarray]]:
     """(from, to, pre-tokens, number of tokens of each) of each chunk of documents."""
-    memory = vocabulary.memory
     for i, j, t in tokens_of(data, offs, size=CHUNK):
-        names, rep, which = np.unique(t.hash, return_index=True, return_inverse=True)
-        names = names.tolist()
-        new = [k for k, h in enumerate(names) if h not in memory]
-        raw = data[offs[i] : offs[j]].tobytes()
-        words = [raw[a:b] for a, b in zip(t.start[rep[new]].tolist(), t.end[rep[new]].tolist(), strict=True)]
-        if len(memory) + len(words) > MEMORY:
-            known = [memory.get(h, 0) for h in names]
-            memory.clear()
-        else:
-            known = None
-        counts = {}
-        short = [k for k, w in enumerate(words) if len(w) <= LONG]
-        counts.update(zip(short, word_counts([words[k] for k in short], vocabulary).tolist(), strict=True))
-        counts.update((k, segment(w, vocabulary)[0]) for k, w in enumerate(words) if len(w) > LONG)
-        fresh = {names[at]: counts[k] for k, at in enumerate(new)}
-        memory.update(fresh)
-        found = [memory[h] for h in names] if known is None else [fresh.get(h, v) for h, v in zip(names, known, strict=True)]
-        yield i, j, t, np.array(found, np.int64)[which]
+        names, rep, which = distinct(t.hash)
+        found = vocabulary.recalled(names)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            start, size, chunk = t.start[rep[new]], (t.end - t.start)[rep[new]], data[offs[i] : offs[j]]
+            short, fresh = size <= LONG, np.zeros(len(new), np.int64)
+            fresh[short] = slice_counts(chunk, start[short], size[short], vocabulary)
+            for k in np.flatnonzero(~short):
+                fresh[k] = segment(chunk[start[k] : start[k] + size[k]].tobytes(), vocabulary)[0]
+            found[new] = fresh
+            vocabulary.remember(names[new], fresh)
+        yield i, j, t, found[which]
 
 
 def token_counts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:

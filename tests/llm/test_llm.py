@@ -327,6 +327,36 @@ def test_token_counts_query(spark):
     assert trie_unigram.token_counts(docs(spark, []), vocabulary).count() == 0
 
 
+def test_pretokens_are_looked_up_once_a_worker(monkeypatch):
+    """Counts of 200,000 pre-tokens were remembered, as Python objects; with more, all were forgotten again and again."""
+    vocabulary = trie_unigram.load_vocabulary()
+    text = [" ".join(f"{i:x}" for i in range(at, at + 70_000)) for at in range(0, 280_000, 70_000)]
+    data, offs = text_buffers(pa.array(text))
+    first = [c.copy() for _, _, _, c in trie_unigram.counted(data, offs, vocabulary)]
+    seen = []
+    scores = trie_unigram.Vocabulary.scores
+    monkeypatch.setattr(trie_unigram.Vocabulary, "scores", lambda self, key: seen.append(len(key)) or scores(self, key))
+    again = [c for _, _, _, c in trie_unigram.counted(data, offs, vocabulary)]
+    assert sum(map(len, first)) == 280_000 and not seen and all((a == b).all() for a, b in zip(first, again, strict=True))
+
+
+def test_what_is_remembered_is_bounded_and_changes_no_count(monkeypatch):
+    rng = random.Random(12)
+    vocabulary, plain = trie_unigram.load_vocabulary(), trie_unigram.load_vocabulary()
+    monkeypatch.setattr(trie_unigram, "CHUNK", 700)
+    listed = [rng.choice(["é", "日本", "x", "ing", "the"]) * rng.randrange(1, 30) + str(rng.randrange(300)) for _ in range(600)]
+    data, offs = text_buffers(pa.array([" ".join(listed[k : k + 20]) for k in range(0, 600, 20)] + ["", None, " "]))
+    want = [trie_unigram.segment(w.encode(), plain)[0] for w in listed]
+    for most in (0, 5, 100, 1 << 20):
+        monkeypatch.setattr(trie_unigram, "MEMORY", most)
+        got = []
+        for _, _, _, c in trie_unigram.counted(data, offs, vocabulary):
+            got += c.tolist()
+            assert len(vocabulary.known) == len(vocabulary.counts) <= most and (vocabulary.known[1:] > vocabulary.known[:-1]).all()
+        assert got == want
+    assert trie_unigram.word_counts([b""], plain).tolist() == [trie_unigram.segment(b"", plain)[0]] and not len(trie_unigram.word_counts([], plain))
+
+
 # 4 toxicity and 7 quality
 
 
