@@ -8,14 +8,16 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.similarity import METRICS, norm_of
 from ..plans.compiler import Compiler, kind_of
 from ..plans.query import Query, QueryBuilder
 from ..sources.documents import unify
+from . import batch
 
-#: Rows of a query batch that are broadcast at a time; larger batches are cut into blocks of about so many.
-BROADCAST_QUERIES = 4096
+#: Rows of a query batch that are broadcast at a time; larger batches are cut into blocks of about so many. Without products of blocks, as many of these at most.
+BROADCAST_QUERIES, BROADCAST_PAIRED = 65536, 4096
 
 
 class Collection:
@@ -87,33 +89,61 @@ class Collection:
     def search_batch(self, queries: DataFrame, field: str, k: int, query_id: str = "query_id", vector: str = "vector", metric: str = "cosine", min_score: float = 0.0, on_mismatch: str = "error") -> DataFrame:
         """The best ``k`` documents of a positive score of at least ``min_score`` for each row of ``queries``: (query_id, id, score, rank).
 
-        As in ``search``, vectors of another length are an error, or no match with ``on_mismatch="skip"``. A row number below k per query lets
-        Spark keep only k rows of each query in every partition before the shuffle. All documents are read once for each block of queries.
+        As in ``search``, vectors of another length are an error, or no match with ``on_mismatch="skip"``. All pairs are compared: for cosine and
+        dot by products of blocks of rows and queries, which find each partition's best k; for other measures, or a k above ``LARGEST_K``,
+        pair by pair. All documents are read once for each block of queries.
         """
         if kind_of(self.df.schema[field].dataType) != "vector":
             raise ValueError(f"{field!r} is not a vector field")
         asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__query"))
-        blocks = max(1, -(-asked.count() // BROADCAST_QUERIES))
-        norm = F.col(self.norms[field]) if field in self.norms else norm_of(F.col(field))
-        # Norms are worked out once a row, not once a pair; a table in few files is spread over all cores first.
-        data = self.df.select(F.col(self.id_col), F.col(field).alias("__data"), norm.alias("__norm"))
+        products = metric in batch.PRODUCTS and k <= batch.LARGEST_K
+        n, length = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("__query")), F.lit(0))).first()
+        at_once = min(BROADCAST_QUERIES, max(1, batch.BLOCK_NUMBERS // max(length, k, 1)) if products else BROADCAST_PAIRED)
+        blocks = max(1, -(-n // at_once))
+        data = self.df.select(F.col(self.id_col), F.col(field).alias("__data"), *([F.col(self.norms[field]).cast("double").alias("__norm")] if field in self.norms else []))
+        # Rows cost far more to compare than to move: a table in few files is spread evenly over all cores first.
         cores = self.df.sparkSession.sparkContext.defaultParallelism
-        if data.rdd.getNumPartitions() < cores:
-            data = data.repartition(cores)
-        asked = asked.withColumn("__query_norm", norm_of(F.col("__query")))
-        score = METRICS[metric](F.col("__data"), F.col("__query"), "float64", F.col("__norm"), F.col("__query_norm"))
-        if on_mismatch == "error":
-            other = F.size("__data") != F.size("__query")
-            score = F.when(other, F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(score)
+        if data.rdd.getNumPartitions() < 4 * cores:
+            data = data.repartition(2 * cores)
+        found_in = (self._products if products else self._paired)(data, k, metric, min_score, on_mismatch)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col))
         found = None
         for b in range(blocks):
             part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else asked
-            pairs = data.crossJoin(F.broadcast(part)).withColumn("score", score).where((F.col("score") > 0) & (F.col("score") >= min_score))
-            best = pairs.select("query_id", self.id_col, "score").withColumn("rank", rank).where(F.col("rank") <= k)
+            best = found_in(part).withColumn("rank", rank).where(F.col("rank") <= k)
             found = best if found is None else found.union(best)
         return found
 
+    def _products(self, data: DataFrame, k: int, metric: str, min_score: float, on_mismatch: str) -> Callable[[DataFrame], DataFrame]:
+        """Gives (query_id, id, score) of every partition's best k for a block of queries. Partitions are sorted by id, as equal scores are ranked by it."""
+        sc, strict = data.sparkSession.sparkContext, on_mismatch == "error"
+        data = data.sortWithinPartitions(F.col(self.id_col).asc())
+        id_field = data.schema[self.id_col]
+
+        def found_in(part: DataFrame) -> DataFrame:
+            rows = part.toArrow()
+            ids = rows.column(0).combine_chunks()
+            shared = sc.broadcast((ids, batch.vectors(rows.column(1))))
+            schema = T.StructType([part.schema["query_id"], T.StructField(id_field.name, id_field.dataType), T.StructField("score", T.DoubleType())])
+            return data.mapInArrow(lambda batches: batch.search(batches, *shared.value, k, metric, min_score, strict), schema)
+
+        return found_in
+
+    def _paired(self, data: DataFrame, k: int, metric: str, min_score: float, on_mismatch: str) -> Callable[[DataFrame], DataFrame]:
+        """Gives (query_id, id, score) of all pairs for a block of queries; a row number below k per query lets Spark keep only k rows of each query in every partition before the shuffle."""
+        if "__norm" not in data.columns:  # norms are worked out once a row, not once a pair
+            data = data.withColumn("__norm", norm_of(F.col("__data")))
+        score = METRICS[metric](F.col("__data"), F.col("__query"), "float64", F.col("__norm"), F.col("__query_norm"))
+        if on_mismatch == "error":
+            other = F.size("__data") != F.size("__query")
+            score = F.when(other, F.raise_error(F.lit("vectors differ in length")).cast("double")).otherwise(score)
+
+        def found_in(part: DataFrame) -> DataFrame:
+            pairs = data.crossJoin(F.broadcast(part.withColumn("__query_norm", norm_of(F.col("__query"))))).withColumn("score", score)
+            return pairs.where((F.col("score") > 0) & (F.col("score") >= min_score)).select("query_id", self.id_col, "score")
+
+        return found_in
+
     def get(self, doc_id: Any) -> DataFrame:
         """The document of that id: one row or none."""
         return self.df.where(F.col(self.id_col) == F.lit(doc_id))
