@@ -1,4 +1,7 @@
-"""Algebra of document id sets: each set is a DataFrame with one id column."""
+"""Algebra of document id sets: each set is a DataFrame with one id column.
+
+Sets are joined by merging: a task holds its partition's ids, never a whole set, however small the planner takes it to be.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +13,7 @@ def ids(df: DataFrame, id_col: str) -> DataFrame:
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.distinct().join(b, a.columns[0], "left_semi")
+    return a.distinct().join(b.hint("merge"), a.columns[0], "left_semi")
 
 
 def either(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -18,7 +21,7 @@ def either(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def only_first(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.distinct().join(b, a.columns[0], "left_anti")
+    return a.distinct().join(b.hint("merge"), a.columns[0], "left_anti")
 
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -6,17 +6,21 @@ So an indexed search returns what a scan returns, whatever the tree.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial, reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..plans.query import Multi, Not, Query, QueryBuilder, Similar, StringMatch
-from . import idsets
 from .collection import Collection
-from .string_index import StringIndex
+from .string_index import StringIndex, term_test
 from .vector_index import VectorIndex
 
 
+def _folded(op: str, a: tuple[str, Column, bool], b: tuple[str, Column, bool]) -> tuple[str, Column, bool]:
+    return (a[0], a[1] & b[1], a[2] and b[2]) if op == "AND" else (a[0], a[1] | b[1], a[2] or b[2])
+
+
 class IndexedCollection(Collection):
     def __init__(self, df: DataFrame, id_col: str = "doc_id", **options: Any) -> None:
         super().__init__(df, id_col, **options)
@@ -47,24 +51,54 @@ class IndexedCollection(Collection):
     def is_indexed(self, field: str, kind: str = "string") -> bool:
         return field in (self.string_indexes if kind == "string" else self.vector_indexes)
 
+    def _term_test(self, query: Query) -> tuple[str, Column, bool] | None:
+        """A tree on one indexed field as (field, condition on the term, whether documents without the field match); None for any other tree."""
+        if isinstance(query, StringMatch) and query.field in self.string_indexes:
+            return query.field, term_test(query), False
+        if isinstance(query, Not):
+            child = self._term_test(query.child)
+            return (child[0], ~child[1], not child[2]) if child else None
+        if isinstance(query, Multi):
+            parts = [self._term_test(q) for q in query.operands]
+            if parts and all(p is not None and p[0] == parts[0][0] for p in parts):
+                return reduce(partial(_folded, query.op), parts)
+        return None
+
+    def _ids_of(self, field: str, test: Column, missing: bool) -> DataFrame:
+        index = self.string_indexes[field]
+        return self._all_but(index.matching(~test)) if missing else index.matching(test)
+
+    def _all_but(self, ids: DataFrame) -> DataFrame:
+        return self.df.select(self.id_col).join(ids.hint("merge"), self.id_col, "left_anti")
+
     def candidate_ids(self, query: Query) -> tuple[DataFrame, bool] | None:
         """Ids of a superset of the matches from the string indexes, and whether they are the matches exactly; None if no index helps.
 
-        AND takes what its operands give, OR needs all of them, NOT needs an exact child.
+        What a tree asks of one field is one condition on its terms, so it takes one pass over that index. AND takes what its operands give, OR
+        needs all of them, NOT needs an exact child. Ids may be repeated. Sets are joined by merging, as in ``idsets``.
         """
-        if isinstance(query, StringMatch) and query.field in self.string_indexes:
-            return self.string_indexes[query.field].lookup(query), True
+        one = self._term_test(query)
+        if one:
+            return self._ids_of(*one), True
         if isinstance(query, Not):
             child = self.candidate_ids(query.child)
-            return (idsets.only_first(idsets.ids(self.df, self.id_col), child[0]), True) if child and child[1] else None
+            return (self._all_but(child[0]), True) if child and child[1] else None
         if isinstance(query, Multi):
-            parts = [self.candidate_ids(q) for q in query.operands]
+            tests: dict[str, tuple[str, Column, bool]] = {}
+            parts = []
+            for q in query.operands:
+                one = self._term_test(q)
+                if one:
+                    tests[one[0]] = _folded(query.op, tests[one[0]], one) if one[0] in tests else one
+                else:
+                    parts.append(self.candidate_ids(q))
+            parts = [*((self._ids_of(*t), True) for t in tests.values()), *parts]
             known = [p for p in parts if p is not None]
             if not known or (query.op == "OR" and len(known) < len(parts)):
                 return None
             out = known[0][0]
             for p in known[1:]:
-                out = idsets.both(out, p[0]) if query.op == "AND" else idsets.either(out, p[0])
+                out = out.join(p[0].hint("merge"), self.id_col, "left_semi") if query.op == "AND" else out.union(p[0])
             return out, len(known) == len(parts) and all(p[1] for p in known)
         return None
 
@@ -74,7 +108,7 @@ class IndexedCollection(Collection):
         found = self.candidate_ids(query)
         if found is None:
             return self.search(query, k, **options)
-        narrowed = self.df.join(found[0], self.id_col, "left_semi").select(*self.df.columns)
+        narrowed = self.df.join(found[0].hint("merge"), self.id_col, "left_semi").select(*self.df.columns)
         return self._with(narrowed).search(query, k, **options)
 
     def search_nearest(self, field: str, vector: Sequence[float], k: int, nprobe: int | None = None, query: Query | None = None, blend_match_all: bool = False) -> DataFrame:

@@ -5,7 +5,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkvane.__main__ import answer
+from sparkvane.operators import idsets
 from sparkvane.operators.indexed import IndexedCollection
+from sparkvane.operators.string_index import StringIndex
 from sparkvane.plans.query import IntCompare, Multi, Not, Similar, StringMatch
 
 LEAVES = st.sampled_from([StringMatch("name", "contains", "n"), StringMatch("name", "starts_with", "John"), StringMatch("city", "equals", "Rome"), StringMatch("free", "equals", "x"), IntCompare("n", ">", 2)])
@@ -48,3 +50,28 @@ def test_shell(spark, tmp_path):
     (tmp_path / "b.txt").write_text("cooking pasta")
     loaded, said = answer(spark, f"load {tmp_path}", None)
     assert said == ["2 documents"] and answer(spark, "roman myths", loaded)[1][0].endswith("a.txt")
+
+
+def test_no_set_of_ids_is_broadcast_by_an_estimate(spark, monkeypatch):
+    c = IndexedCollection.configured(people(spark), {"string_indexes": "name, city"})
+    john, jane, rome = StringMatch("name", "starts_with", "John"), StringMatch("name", "ends_with", "Jane"), StringMatch("city", "equals", "Rome")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    # A tree on one field is one condition on the index's terms: one join, no aggregate.
+    one = plan(c.search_indexed(Multi("AND", (Multi("OR", (john, jane)), Not(StringMatch("name", "contains", "D")), IntCompare("n", ">", 0)))))
+    assert one.count("Join") == one.count("SortMergeJoin") == 1 and "Aggregate" not in one
+    for tree in (Multi("AND", (john, rome)), Multi("AND", (Not(john), Not(rome))), Multi("OR", (Not(jane), rome)), Not(Multi("AND", (Not(john), rome)))):
+        assert "Broadcast" not in plan(c.search_indexed(tree))
+        assert sorted(c.search_indexed(tree).collect()) == sorted(c.search(tree).collect())
+    sets = [people(spark).where("n > 1").select("doc_id"), people(spark).where("n < 4").select("doc_id")]
+    assert not any("Broadcast" in plan(f(*sets)) for f in (idsets.both, idsets.only_first))
+    # Few ids found are broadcast, more are not; a repeated document is found as often as it is there.
+    twice = people(spark).union(people(spark).where("doc_id = '1'"))
+    few = StringIndex.build(twice, "name").search(twice, john)
+    monkeypatch.setattr("sparkvane.operators.string_index.BROADCAST_IDS", 2)
+    many = StringIndex.build(twice, "name").search(twice, john)
+    assert "BroadcastHashJoin" in plan(few) and "BroadcastHashJoin" not in plan(many)
+    assert sorted(r["doc_id"] for r in few.collect()) == sorted(r["doc_id"] for r in many.collect()) == ["1", "1", "3"]
+    assert StringIndex.build(twice, "name").lookup(john).count() == 2
